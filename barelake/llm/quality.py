@@ -1,7 +1,8 @@
 """Quality by the perplexity of a language model (operator 10).
 
 An interpolated modified Kneser-Ney model over classes of characters is trained
-on trusted texts. Counts are made in the cluster, sharded by n-gram, and joined
+on trusted texts; the white space before a word that repeats the one before it
+is a class of its own. Counts are made in the cluster, sharded by n-gram, and joined
 with the counts of their contexts and suffixes. With CLASSES classes and order
 ORDER there are at most CLASSES ** ORDER n-grams, however large the corpus is;
 so the finished model is a table of a fixed size, and each task scores whole
@@ -67,7 +68,7 @@ def _classes() -> np.ndarray:
         elif c < 128:
             k = 40
         elif c < 0x250:
-            k = 41 + c % 5 if ch.islower() else 26 if ch.isupper() else 40
+            k = 41 + c % 4 if ch.islower() else 26 if ch.isupper() else 40
         else:
             k = 46 if ch.isalpha() else 47
         out[c] = k
@@ -75,13 +76,28 @@ def _classes() -> np.ndarray:
 
 
 _CLASS_OF = _classes()
+_SPACES = (28, 29)
+#: The class of white space between a word and the same word again.
+_AGAIN = 45
 
 
 def symbols(text: str) -> np.ndarray:
     """The classes of a text's characters, with ORDER - 1 line ends before them and one after."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    own = _CLASS_OF[np.minimum(codes, 0xFFFF)]
+    space = (own == _SPACES[0]) | (own == _SPACES[1])
+    starts = np.nonzero(~space & np.concatenate([[True], space[:-1]]))[0]
+    if len(starts) > 1:
+        ends = np.nonzero(~space & np.concatenate([space[1:], [True]]))[0] + 1
+        sizes = ends - starts
+        inside = np.nonzero(~space)[0]
+        first = np.cumsum(sizes) - sizes
+        mixed = (codes[inside].astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(inside)) - np.repeat(first, sizes) + 1).astype(np.uint64)
+        mixed ^= mixed >> np.uint64(29)
+        words = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), first)
+        own[starts[1:][(words[1:] == words[:-1]) & (sizes[1:] == sizes[:-1])] - 1] = _AGAIN
     out = np.full(len(codes) + ORDER, 28, np.uint8)
-    out[ORDER - 1 : -1] = _CLASS_OF[np.minimum(codes, 0xFFFF)]
+    out[ORDER - 1 : -1] = own
     return out
 
 
