@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +53,28 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of a word with marks at its ends."""
-    w = f"^{word}$"
-    return [crc32(w[i : i + n].encode("utf-8", "replace"), n) % BUCKETS for n in ORDERS for i in range(len(w) - n + 1)]
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, starts): the buckets of the n-grams of each word, with marks at its ends, word after word, and where each word's begin."""
+    flat = np.frombuffer(("^" + "$^".join(tokens) + "$").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 2
+    ends = np.cumsum(sizes)
+    room = np.repeat(ends, sizes) - np.arange(len(flat))
+    first = np.repeat(np.concatenate([[0], np.cumsum(sum(np.maximum(sizes - n + 1, 0) for n in ORDERS))[:-1]]), sizes)
+    out = np.empty(int(sum(np.maximum(sizes - n + 1, 0).sum() for n in ORDERS)), np.int64)
+    done, h = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.uint64)
+    inside = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+    for n in ORDERS:
+        m = len(flat) - n + 1
+        h[:m] += (flat[n - 1 :] + np.uint64(n)) * _MIX[n - 1]
+        ok = np.nonzero(room[:m] >= n)[0]
+        g = h[ok]
+        g = (g ^ (g >> np.uint64(31))) * _MIX[0]
+        out[first[ok] + done[ok] + inside[ok]] = (g >> np.uint64(40)).astype(np.int64) % BUCKETS
+        done += np.repeat(np.maximum(sizes - n + 1, 0), sizes)
+    return out, np.unique(first)
 
 
 @dataclass
@@ -79,33 +96,33 @@ class Model:
         self.langs, self.scores, self.scripts = state
         self.__post_init__()
 
-    def score(self, word: str) -> np.ndarray:
-        """Of one word, for each language: the mean log-probability of its n-grams times the root of their number, against the best."""
-        g = grams(word)
-        s = self.scores[g].sum(axis=0) / np.sqrt(len(g))
-        use = self.scripts[script(word)]
-        if not use.any():
-            return np.zeros(len(self.langs), np.float32)
-        s = np.where(use, s, s[use].min() - PENALTY)
-        return (s - s.max()).astype(np.float32)
+    def score(self, tokens: list[str]) -> np.ndarray:
+        """Of each word, for each language: the summed log-probabilities of its n-grams over the root of their number, against the best."""
+        buckets, starts = grams(tokens)
+        number = np.diff(np.append(starts, len(buckets)))[:, None]
+        s = np.add.reduceat(self.scores[buckets], starts, axis=0) / np.sqrt(number)
+        use = self.scripts[[script(w) for w in tokens]]
+        worst = np.where(use, s, np.inf).min(axis=1, keepdims=True) - PENALTY
+        s = np.where(use, s, worst)
+        s -= s.max(axis=1, keepdims=True)
+        s[~use.any(axis=1)] = 0
+        return s.astype(np.float32)
 
     def matrix(self, tokens: list[str]) -> np.ndarray:
         """The scores of words, a row for each. Keeps those of words seen before, up to a bound."""
         rows = self._rows
         if len(rows) > _CACHE:
             rows.clear()
-        at = list(map(rows.get, tokens))
-        if None in at:
-            for i, w in enumerate(tokens):
-                if at[i] is None:
-                    k = rows.get(w)
-                    if k is None:
-                        k = rows[w] = len(rows)
-                        if k >= len(self._table):
-                            self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-                        self._table[k] = self.score(w)
-                    at[i] = k
-        return self._table[at]
+        new = [w for w in dict.fromkeys(tokens) if w not in rows]
+        if new:
+            first = len(rows)
+            rows.update(zip(new, range(first, first + len(new))))
+            while len(rows) > len(self._table):
+                self._table = np.concatenate([self._table, np.zeros_like(self._table)])
+            for k in range(0, len(new), 8192):
+                some = new[k : k + 8192]
+                self._table[first + k : first + k + len(some)] = self.score(some)
+        return self._table[np.fromiter(map(rows.__getitem__, tokens), np.int64, len(tokens))]
 
 
 def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -118,27 +135,42 @@ def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     low = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, k)), gain[:-1]]), axis=0), 0)
     if (gain - low).max() <= penalty:
         return np.full(n, best)
-    back, v = np.empty((n, k), np.int32), s[0].copy()
-    stay = np.arange(k)
-    back[0] = stay
-    for t in range(1, n):
-        top = int(v.argmax())
-        moved = v[top] - penalty
-        back[t] = np.where(v >= moved, stay, top)
-        v = np.maximum(v, moved) + s[t]
+    back, v = [], s[0].tolist()
+    for row in s[1:].tolist():
+        top = max(v)
+        moved = top - penalty
+        back.append((v.index(top), [x < moved for x in v]))
+        v = [(x if x >= moved else moved) + r for x, r in zip(v, row)]
     out = np.empty(n, np.int64)
-    out[-1] = int(v.argmax())
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t][out[t]]
+    at = out[-1] = v.index(max(v))
+    for t in range(n - 2, -1, -1):
+        top, leave = back[t]
+        if leave[at]:
+            at = top
+        out[t] = at
     return out
 
 
-def predict(model: Model, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
+Prediction = tuple[str, float, list[tuple[str, int, int]]]
+
+
+def predict_all(model: Model, texts: list[str | None]) -> list[Prediction]:
+    """predict() of each text; their words are scored together."""
+    tokens = [words(t) for t in texts]
+    scores = model.matrix([w for ws in tokens for w in ws])
+    ends = np.cumsum([len(ws) for ws in tokens])
+    return [_decide(model, ws, scores[e - len(ws) : e]) for ws, e in zip(tokens, ends.tolist())]
+
+
+def predict(model: Model, text: str | None) -> Prediction:
     """(language, score, spans): the language of most letters, its share, and (language, first word, end) along the text."""
-    tokens = words(text)
+    return predict_all(model, [text])[0]
+
+
+def _decide(model: Model, tokens: list[str], scores: np.ndarray) -> Prediction:
     if not tokens or not model.langs:
         return "und", 0.0, []
-    path = viterbi(model.matrix(tokens))
+    path = viterbi(scores)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     share = np.bincount(path, weights=sizes, minlength=len(model.langs))
     k = int(share.argmax())
@@ -178,10 +210,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_
 
     def told(by):
         for lang, seen in by.items():
-            sums, scripts = np.zeros(BUCKETS, np.int64), np.zeros(len(_NAMES), np.int64)
-            for w, n in seen.items():
-                np.add.at(sums, grams(w), n)
-                scripts[script(w)] += n
+            tokens, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+            scripts = np.bincount([script(w) for w in tokens], weights=n, minlength=len(_NAMES)).astype(np.int64)
+            sums = np.zeros(BUCKETS)
+            for k in range(0, len(tokens), 8192):
+                buckets, starts = grams(tokens[k : k + 8192])
+                sums += np.bincount(buckets, weights=np.repeat(n[k : k + 8192], np.diff(np.append(starts, len(buckets)))), minlength=BUCKETS)
+            sums = sums.astype(np.int64)
             for kind, values in ((0, sums), (1, scripts)):
                 keys = np.nonzero(values)[0]
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(keys), "kind": [kind] * len(keys), "key": keys.astype(np.int32), "n": values[keys]}, schema=arrow)
@@ -209,10 +244,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [predict(sent.value, t) for t in batch.column(1).to_pylist()]
+        found = predict_all(sent.value, batch.column(1).to_pylist())
         return {"doc_id": batch.column(0), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "spans": [",".join(f"{x}:{a}:{b}" for x, a, b in f[2]) for f in found]}
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, spans string", arrow)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, spans string", arrow, rows=256)
 
 
 def identify_held_out(docs: DataFrame) -> DataFrame:
