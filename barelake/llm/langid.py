@@ -4,9 +4,9 @@ A model holds, for each language, the log-probabilities of the character
 n-grams of words, hashed to a fixed number of buckets, and the scripts that its
 training texts use. A word's script narrows the languages it is scored for.
 Viterbi decoding over the words' scores, with a penalty for each change of
-language, labels every word. Where no stretch of words gains more than the
-penalty by another language, the best path is constant and isn't searched for;
-the answer is the same.
+language, labels every word. Where no stretch of words gains enough by
+another language to pay the penalties, the best path is constant and isn't
+searched for; the answer is the same.
 """
 
 from __future__ import annotations
@@ -133,7 +133,9 @@ def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     best = int(total.argmax())
     gain = np.cumsum(s - s[:, best : best + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, k)), gain[:-1]]), axis=0), 0)
-    if (gain - low).max() <= penalty:
+    first, last = max(gain.max(), 0), max((gain[-1] - gain).max(), 0)
+    # A stretch in other languages pays for each of its pieces, or for one less if it is all of the text.
+    if (gain - low).max() <= penalty and first + last <= penalty:
         return np.full(n, best)
     back, v = [], s[0].tolist()
     for row in s[1:].tolist():
