@@ -138,13 +138,10 @@ def find(text: str | None) -> list[Span]:
     return out
 
 
-def redact(text: str | None, spans: list[Span] | None = None) -> str | None:
-    """The text with each span, or run of overlapping spans, replaced by its kind in brackets."""
-    if not text:
-        return text
+def _replaced(text: str, spans: list[Span]) -> str:
     out, done = [], 0
     merged: list[list] = []
-    for kind, start, end in sorted(find(text) if spans is None else spans, key=lambda s: (s[1], -s[2], ORDER[s[0]])):
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2], ORDER[s[0]])):
         if merged and start < merged[-1][2]:
             merged[-1][2] = max(merged[-1][2], end)
         else:
@@ -155,6 +152,17 @@ def redact(text: str | None, spans: list[Span] | None = None) -> str | None:
     return "".join([*out, text[done:]])
 
 
+def redact(text: str | None) -> str | None:
+    """The text with each span, or run of overlapping spans, replaced by its kind in brackets.
+
+    What a replacement lays bare (digits that ran on into an address before it,
+    say) is replaced as well: the text is searched again until nothing is found.
+    """
+    while text and (spans := find(text)):
+        text = _replaced(text, spans)
+    return text
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one for each row of docs.
 
