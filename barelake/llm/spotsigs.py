@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_side
+from .common import Forest, lookup_side, map_batches, reliable
+from .components import connected_components
 
 #: Content words in a chain after its anchor.
 CHAIN = 2
@@ -160,3 +161,84 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hosts = plain.select(place("o").alias("r"), F.lit(False).alias("guest"), "o", "text")
     both = hosts.unionByName(guests).repartitionById(len(edges) + 1, F.col("r")).sortWithinPartitions("guest", "o", "text")
     return both.select("guest", F.when(F.col("o") != _LOWEST, F.col("o")).alias("doc_id"), "text").mapInArrow(_walk, _SCHEMA)
+
+
+THRESHOLD = 0.8
+#: Sets compared with each other in one task; larger buckets are dealt out by pairs of blocks.
+BLOCK = 256
+
+
+def signature_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, fingerprint, sigs), one for each row of docs."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("sigs", pa.list_(pa.int64()))])
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [signatures(t) for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "fingerprint": [fingerprint(s) for s in sets], "sigs": [s.view(np.int64) for s in sets]}
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fingerprint string, sigs array<long>", arrow, rows=256)
+
+
+def _alike(threshold: float):
+    """mapInArrow function over rows (sig, part, i, j, block, own, rep, sigs) in order of the first four: links of a forest."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        forest, now, rows = Forest(), None, []
+
+        def settle() -> None:
+            _, _, i, j = now
+            first, second = [r for r in rows if r[0] == i], [r for r in rows if r[0] == j]
+            for x, (_, own, rep, sigs) in enumerate(first):
+                for _, other_own, other, theirs in second[x + 1 :] if i == j else second:
+                    if (own or other_own) and rep != other and forest.find(rep) != forest.find(other) and likeness(sigs, theirs, threshold) >= threshold:
+                        forest.join(rep, other)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:7]]
+            for k, row in enumerate(zip(*columns)):
+                if row[:4] != now:
+                    if len(rows) > 1:
+                        settle()
+                    now, rows = row[:4], []
+                rows.append((*row[4:7], np.sort(batch.column(7)[k].values.to_numpy().view(np.uint64))))
+        if len(rows) > 1:
+            settle()
+        links = forest.links()
+        for k in range(0, len(links), 65_536):
+            some = links[k : k + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in some], pa.int64()), pa.array([b for _, b in some], pa.int64())], schema=schema)
+
+    return run
+
+
+def spot_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, fingerprint, component_id): near duplicates by the likeness of their signatures; all links of at least ``threshold`` count.
+
+    Equal sets are one class. A set's rarest signatures, as many as a set that
+    is alike can't all lack, are its keys. Sets meet under a key within one
+    range of sizes or in neighbouring ones, a range reaching from s to
+    s / threshold. A key that many sets share is dealt out by pairs of blocks
+    of its sets, and a block gives no more links than it has sets.
+
+    Null texts count as empty; empty ones are one class. Rows with a null id
+    get the smallest id of their component, null if all its rows have none.
+    """
+    sets = reliable(signature_sets(docs, id_col, text_col))
+    no_id = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("fingerprint"), 2)
+    named = sets.groupBy("fingerprint").agg(F.coalesce(F.min("doc_id"), no_id).alias("rep"), F.first("sigs").alias("sigs"))
+    classes = reliable(named.withColumn("n", F.size("sigs")))
+    rarity = classes.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("df"))
+    keyed = classes.select("rep", "n", F.explode("sigs").alias("sig")).join(rarity, "sig")
+    ordered = keyed.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))
+    needed = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
+    prefix = ordered.select("rep", "n", F.explode(F.slice("s", F.lit(1), needed)).alias("k")).where("k.df > 1").select("rep", "n", "k.sig")
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(threshold)))).cast("int")
+    spots = prefix.withColumn("p", F.explode(F.array(F.struct(part.alias("part"), F.lit(True).alias("own")), F.struct((part + 1).alias("part"), F.lit(False).alias("own"))))).select("rep", "sig", "p.part", "p.own")
+    sizes = spots.groupBy("sig", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
+    placed = spots.join(sizes, ["sig", "part"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = placed.join(classes.select("rep", "sigs"), "rep").select("sig", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "rep", "sigs")
+    dealt = full.repartition("sig", "part", "i", "j").sortWithinPartitions("sig", "part", "i", "j", "rep")
+    tied = connected_components(dealt.mapInArrow(_alike(threshold), "a long, b long"))
+    found = classes.join(tied, classes["rep"] == tied["node"], "left").select("fingerprint", F.coalesce("root", "rep").alias("c"))
+    return sets.join(found, "fingerprint").select("doc_id", "fingerprint", F.when(F.col("c") < (1 << 62), F.col("c")).alias("component_id"))
