@@ -102,10 +102,12 @@ class Model:
         number = np.diff(np.append(starts, len(buckets)))[:, None]
         s = np.add.reduceat(self.scores[buckets], starts, axis=0) / np.sqrt(number)
         use = self.scripts[[script(w) for w in tokens]]
+        unknown = ~use.any(axis=1)
+        use[unknown] = True
         worst = np.where(use, s, np.inf).min(axis=1, keepdims=True) - PENALTY
         s = np.where(use, s, worst)
         s -= s.max(axis=1, keepdims=True)
-        s[~use.any(axis=1)] = 0
+        s[unknown] = 0
         return s.astype(np.float32)
 
     def matrix(self, tokens: list[str]) -> np.ndarray:
@@ -158,6 +160,8 @@ Prediction = tuple[str, float, list[tuple[str, int, int]]]
 
 def predict_all(model: Model, texts: list[str | None]) -> list[Prediction]:
     """predict() of each text; their words are scored together."""
+    if not model.langs:
+        return [("und", 0.0, [])] * len(texts)
     tokens = [words(t) for t in texts]
     scores = model.matrix([w for ws in tokens for w in ws])
     ends = np.cumsum([len(ws) for ws in tokens])
@@ -170,7 +174,7 @@ def predict(model: Model, text: str | None) -> Prediction:
 
 
 def _decide(model: Model, tokens: list[str], scores: np.ndarray) -> Prediction:
-    if not tokens or not model.langs:
+    if not tokens:
         return "und", 0.0, []
     path = viterbi(scores)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))

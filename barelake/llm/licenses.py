@@ -104,7 +104,7 @@ class Rule:
 
 def _compiled(source: str) -> re.Pattern:
     """A space outside brackets stands for any run of white space."""
-    return re.compile("".join(part if part.startswith("[") else part.replace(" ", r"\s+") for part in re.split(r"(\[[^\]]*\])", source)))
+    return re.compile("".join(part if part.startswith("[") else part.replace(" ?", r"\s*").replace(" ", r"\s+") for part in re.split(r"(\[[^\]]*\])", source)))
 
 
 @functools.cache
@@ -117,10 +117,12 @@ def rules() -> tuple[Rule, ...]:
         for v in _CC_VERSIONS:
             names.append((f"cc-{short}-{v}", rf"(?:(?:cc|creative commons)[- ]{tail}|creative commons {long}),?(?: international| unported| version)?[- ]{v.replace('.', '[.]')}", ("cc by", "cc-by", "creative commons")))
         names.append((f"cc-{short}", rf"(?:(?:cc|creative commons)[- ]{tail}(?![- ](?:nc|nd|sa)\b)|creative commons {long})", ("cc by", "cc-by", "creative commons")))
-    for k, (label, name, keys) in enumerate(names):
+    for label, name, keys in names:
         finer = 1 if re.search(r"[0-9]", label) else 0
         for form, priority, score in _FORMS:
             out.append(Rule(label, _compiled(form.replace("N", f"(?:{name})")), 10 * priority + 5 * finer, score, keys))
+        if finer:
+            out.append(Rule(label, _compiled(rf"(?<!\w)(?:{name})(?![\w.]?\w)"), 650, 0.7, keys))
     out += [Rule(label, _compiled(p), 10 * priority, score, keys) for label, p, priority, score, keys in _OTHERS]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
