@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import column_tags
-from .model import Lake
+from .model import Lake, settled
 
 EMPTY_SHARE, LONG, LEAST_ROWS, LEAST_ENTRIES = 0.8, 40, 3, 3
 _PUNCT = string.punctuation + " –"
@@ -84,7 +84,7 @@ def _renumbered(cells: DataFrame, order: Column | None = None) -> DataFrame:
     """Columns numbered from 0 in their order."""
     kept = cells.select("table_id", "col_id").distinct()
     at = Window.partitionBy("table_id").orderBy(*([order] if order is not None else []), F.col("col_id"))
-    new = kept.withColumn("new", (F.row_number().over(at) - 1).cast("int"))
+    new = settled(kept.withColumn("new", (F.row_number().over(at) - 1).cast("int")))
     return cells.join(new, ["table_id", "col_id"]).select("table_id", "row_id", F.col("new").alias("col_id"), "value")
 
 
@@ -117,15 +117,17 @@ def _count(step: str, cells: DataFrame) -> DataFrame:
 
 
 def clean(lake: Lake, long: float = LONG) -> tuple[Lake, DataFrame]:
-    """The cleaned lake and (step, tables, columns, rows) after each step."""
-    start = normalise(lake.cells).repartition("table_id")
-    one = drop_columns(start, column_faults(start, long=long))
-    numbers = row_number_keys(one.where("col_id = 0"))
-    two = drop_columns(one, numbers)
-    two = promote_keys(two, valid_keys(two))
+    """The cleaned lake and (step, tables, columns, rows) after each step.
+
+    What is decided about columns, one row for each, is settled before it is
+    used; cells run through as joins with these small relations.
+    """
+    start = normalise(lake.cells)
+    one = drop_columns(start, settled(column_faults(start, long=long)))
+    two = drop_columns(one, settled(row_number_keys(one.where("col_id = 0"))))
+    two = promote_keys(two, settled(valid_keys(two)))
     three = drop_keyless_rows(two)
-    faults = column_faults(three).where("fault IN ('empty', 'punctuation')")
-    four = drop_columns(three, faults.where("col_id > 0"))
+    four = drop_columns(three, settled(column_faults(three).where("fault IN ('empty', 'punctuation') AND col_id > 0")))
     five = drop_small_tables(four)
     steps = [("raw", start), ("columns", one), ("keys", two), ("rows", three), ("columns again", four), ("small tables", five)]
     stats = _count(*steps[0])
