@@ -225,7 +225,7 @@ class Classifier:
     def judge(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
         """docs with ``perplexity``, ``threshold`` and ``keep``; such columns of docs are replaced.
 
-        Null texts count as empty, which are kept as unobjectionable. Languages
+        Null texts count as empty; empty ones are kept. Languages
         without trusted documents, and null, have the threshold of all trusted
         documents.
         """
@@ -233,7 +233,8 @@ class Classifier:
         scored = score(docs.drop("perplexity", "threshold", "keep"), self.table, text_col)
         mean = (F.col("__score.s") + PRIOR * self._by_lang(lang, self.means, self.mean)) / (F.col("__score.n") + PRIOR)
         limit = self._by_lang(lang, self.thresholds, self.threshold)
-        return scored.withColumn("perplexity", F.exp(mean)).withColumn("threshold", F.exp(limit)).withColumn("keep", (mean <= limit)).drop("__score")
+        empty = F.coalesce(F.col(text_col).cast("string"), F.lit("")) == ""
+        return scored.withColumn("perplexity", F.exp(mean)).withColumn("threshold", F.exp(limit)).withColumn("keep", empty | (mean <= limit)).drop("__score")
 
 
 #: Languages with a threshold of their own; rarer ones share that of all.
