@@ -536,12 +536,14 @@ def c2_swap_sides(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH b AS (SELECT min(p_partkey) AS id, p_type AS value FROM part GROUP BY p_type), a AS (SELECT min(c_custkey) AS id, c_mktsegment AS value FROM customer GROUP BY c_mktsegment), sw AS (SELECT (SELECT avg(length(value)) FROM b) > (SELECT avg(length(value)) FROM a) AS sw), {_MATCH}
-SELECT DISTINCT a.value AS src, b.value AS tgt FROM best JOIN bg USING (gram) JOIN a ON a.id = best.id JOIN b ON b.id = bg.id, sw WHERE NOT sw"""
+    f"""WITH a AS (SELECT min(c_custkey) AS id, c_mktsegment || '-' || c_nationkey AS value FROM customer GROUP BY 2), b AS (SELECT min(c_custkey) AS id, c_mktsegment AS value FROM customer GROUP BY 2), {_MATCH}
+SELECT DISTINCT a.value AS src, b.value AS tgt, TRUE AS swapped FROM best JOIN bg USING (gram) JOIN a ON a.id = best.id JOIN b ON b.id = bg.id"""
 )
 def c3_table_matching(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = matching.match_columns_values(_names(_t(spark, d, "customer"), "c_custkey", "c_mktsegment"), _names(_t(spark, d, "part"), "p_partkey", "p_type"), 4, 12, fast=True)
-    return found.select("src", "tgt")
+    c = _t(spark, d, "customer")
+    wide = c.select(F.col("c_custkey").alias("id"), F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("value"))
+    found, change = matching.match_columns_values(_names(c, "c_custkey", "c_mktsegment"), wide, 4, 12, fast=True)
+    return found.select("src", "tgt", F.lit(change).alias("swapped"))
 
 
 @_query("SELECT n_regionkey::VARCHAR AS src, list_aggregate(list_sort(list(DISTINCT n_name)), 'string_agg', '|') AS tgts FROM nation GROUP BY n_regionkey")
@@ -787,14 +789,15 @@ def k_clean(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.clean(raw_lake(spark, d))[0].cells
 
 
-@_query(f"WITH {_RAW}, {_KEYS.replace('IN (0, 1, 6)', 'IN (1, 6)')} SELECT n0.table_id, row_id, col_id, value FROM n0 WHERE (table_id, row_id) NOT IN (SELECT (table_id, row_id) FROM n0 WHERE col_id = 0 AND value = '')")
+@_query(f"WITH {_RAW}, n1 AS (SELECT table_id, row_id, (col_id - 1)::INTEGER AS col_id, value FROM n0 WHERE col_id > 0) SELECT table_id, row_id, col_id, value FROM n1 WHERE (table_id, row_id) NOT IN (SELECT (table_id, row_id) FROM n1 WHERE col_id = 0 AND value = '')")
 def k8_drop_keyless_rows(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.drop_keyless_rows(cleaning.normalise(raw_lake(spark, d).cells))
+    cells = cleaning.normalise(raw_lake(spark, d).cells).where("col_id > 0")
+    return cleaning.drop_keyless_rows(cells.withColumn("col_id", F.col("col_id") - 1))
 
 
-@_query(f"WITH {_RAW} SELECT table_id, row_id, col_id, value FROM n0 WHERE table_id IN (SELECT table_id FROM n0 GROUP BY table_id HAVING count(DISTINCT row_id) > 5)")
+@_query(f"WITH {_RAW} SELECT table_id, row_id, col_id, value FROM n0 WHERE table_id IN (SELECT table_id FROM n0 GROUP BY table_id HAVING count(DISTINCT row_id) > 60)")
 def k10_drop_small_tables(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.drop_small_tables(cleaning.normalise(raw_lake(spark, d).cells), 5)
+    return cleaning.drop_small_tables(cleaning.normalise(raw_lake(spark, d).cells), 60)
 
 
 @_query(f"WITH {_FINAL} SELECT 'small tables' AS step, count(DISTINCT table_id) AS tables, (SELECT count(*) FROM (SELECT DISTINCT table_id, col_id FROM n4)) AS columns, (SELECT count(*) FROM (SELECT DISTINCT table_id, row_id FROM n4)) AS rows FROM n4")

@@ -29,7 +29,7 @@ def format_cells(cells: Column) -> Column:
 
 def parse_literal(text: str) -> list[tuple[str, ...]]:
     """The rows of a table literal: ``((a, b), (c, d))`` or a single row ``(a, b)``; cells may be quoted."""
-    rows, cells, cell, quote, depth, was_quoted = [], [], [], "", 0, False
+    rows, cells, cell, quote, depth, was_quoted, in_row = [], [], [], "", 0, False, False
 
     def close() -> None:
         nonlocal cell, was_quoted
@@ -37,7 +37,7 @@ def parse_literal(text: str) -> list[tuple[str, ...]]:
         cells.append(word if was_quoted else word.strip())
         cell, was_quoted = [], False
 
-    for i, c in enumerate(text.strip()):
+    for c in text.strip():
         if quote:
             if c == quote:
                 quote = ""
@@ -46,18 +46,18 @@ def parse_literal(text: str) -> list[tuple[str, ...]]:
         elif c in "\"'" and not "".join(cell).strip():
             quote, cell, was_quoted = c, [], True
         elif c == "(":
-            depth += 1
+            depth, in_row = depth + 1, True
             cell, cells = [], []
         elif c == ")":
             depth -= 1
             if depth < 0:
                 raise ValueError("a parenthesis is closed twice")
-            if cells or "".join(cell).strip() or was_quoted:
+            if in_row:
                 close()
                 rows.append(tuple(cells))
-                cells = []
-        elif c == "," and depth and not was_quoted or c == "," and was_quoted:
-            if cells or cell or was_quoted:
+            in_row = False
+        elif c == ",":
+            if in_row:
                 close()
         elif not was_quoted:
             cell.append(c)
