@@ -124,6 +124,8 @@ def _walk(batches):
 
 #: Ids looked at, in the mean, to set one edge between ranges.
 _SAMPLED = 64
+#: Ranges at most, which bounds what the driver holds; beyond it ranges hold more documents each.
+MOST_RANGES = 100_000
 _LOWEST = -(1 << 63)
 
 
@@ -138,14 +140,14 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are shuffled once, into ranges of ids of about ``rows`` documents,
     one range to a task. The first row of each range goes to the end of the
-    range before it as well. The driver holds one id for each range, and a
-    sample of 64 ids for each to set the edges by.
+    range before it as well. The driver holds one id for each range, and about
+    64 ids for each to set the edges by; there are at most MOST_RANGES.
     """
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("o"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = plain.count()
-    parts = max(1, -(-n // rows))
-    share = max(1, rows // _SAMPLED)
+    parts = max(1, min(-(-n // rows), MOST_RANGES))
+    share = max(1, n // (_SAMPLED * parts))
     sample = np.sort(plain.select("o").where(F.pmod(F.xxhash64("o"), F.lit(share)) == 0).toPandas()["o"].to_numpy(np.int64)) if parts > 1 else np.empty(0, np.int64)
     edges = np.unique(sample[[len(sample) * k // parts for k in range(1, parts)]]) if len(sample) else sample
     sent = spark.sparkContext.broadcast(edges)

@@ -151,15 +151,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     component, and kept is true. Other columns are ignored. An empty table
     gives an empty one.
     """
-    v = F.col(vector_col).cast("array<double>")
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # floats are moved as such and compared as doubles
+    v = F.col(vector_col).cast(f"array<{kind}>")
     good = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, v).alias("v"))
-    classes = reliable(rows.where("v IS NOT NULL").select("vec_id", F.transform("v", lambda x: x + 0.0).alias("v")).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "v"))
+    classes = reliable(rows.where("v IS NOT NULL").select("vec_id", F.transform("v", lambda x: (x + 0.0).cast(kind)).alias("v")).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "v"))
     ties = []
     for dim, number in sorted((r["d"], r["c"]) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).collect()):
         if number < 2:
             continue
-        keyed = classes.where(F.size("v") == dim).select("rep", "v").mapInArrow(_sorted_keys(passes(number, threshold, window, recall), seed), "pass int, key long, rep long, v array<double>")
+        keyed = classes.where(F.size("v") == dim).select("rep", "v").mapInArrow(_sorted_keys(passes(number, threshold, window, recall), seed), f"pass int, key long, rep long, v array<{kind}>")
         parts = max(1, -(-number * passes(number, threshold, window, recall) // 16_384))
         ordered = keyed.repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key", "rep")
         ties.append(ordered.mapInArrow(_windows(threshold, window), "a long, b long"))
@@ -172,7 +173,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "v")
     counted = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_counts(threshold), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.join(counted, "rep", "left").join(root_of, F.col("rep") == F.col("node"), "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))
-    found = rows.withColumn("v", F.transform("v", lambda x: x + 0.0)).join(known, "v", "left")
+    found = rows.withColumn("v", F.transform("v", lambda x: (x + 0.0).cast(kind))).join(known, "v", "left")
     component = F.coalesce("root", "vec_id")
     return found.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
