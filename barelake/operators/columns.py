@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import column_tags
-from .model import Lake, settled, width
+from .model import Lake, settled, shape
 from .related import EDIT, RELATED, related_tables, row_matches, small_side
 
 GROUPING, EMPTY, MULTIPLIER = 0.5, 0.5, 0.1
@@ -79,7 +79,7 @@ def extend_columns(query: DataFrame, lake: Lake, related: float = RELATED, edit:
     columns, entries = settled(columns), settled(entries)
     grouped = group_columns(columns, entries, grouping)
     chosen = settled(consolidate(grouped, columns, entries, rule, multiplier))
-    n, w = query.count(), width(query)
+    n, w = shape(query).rows, shape(query).width
     full = chosen.groupBy("group").agg(F.count("*").alias("filled")).where(n - F.col("filled") <= F.lit(n * empty))
     order = [r["group"] for r in full.orderBy("group").collect()]
     by_row = chosen.join(small_side(full), "group", "left_semi").groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("group", "value"))).alias("m"))

@@ -38,12 +38,15 @@ class Lake:
 
     @cached_property
     def tables(self) -> DataFrame:
-        """tables(table_id, num_rows, num_cols, words). num_cols is the commonest row length, the one seen first among equals."""
+        """tables(table_id, num_rows, num_cols, words). num_cols is the commonest row length, the one seen first among equals.
+
+        One small row for each table, settled, as every search and comparison needs it.
+        """
         per_row = self.cells.groupBy("table_id", "row_id").agg(F.count("*").alias("width"), F.sum(F.size(F.split("value", " "))).alias("words"))
         widths = per_row.groupBy("table_id", "width").agg(F.count("*").alias("rows"), F.min("row_id").alias("first"), F.sum("words").alias("words"))
         w = Window.partitionBy("table_id")
         best = widths.withColumn("r", F.row_number().over(w.orderBy(F.desc("rows"), "first"))).withColumn("num_rows", F.sum("rows").over(w)).withColumn("all_words", F.sum("words").over(w))
-        return best.where("r = 1").select("table_id", "num_rows", F.col("width").cast("int").alias("num_cols"), F.col("all_words").alias("words"))
+        return settled(best.where("r = 1").select("table_id", "num_rows", F.col("width").cast("int").alias("num_cols"), F.col("all_words").alias("words")))
 
     @cached_property
     def stats(self) -> dict:
@@ -98,10 +101,29 @@ def rows_to_cells(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", F.posexplode("cells").alias("col_id", "value"))
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Facts about a query table: rows, the commonest length of a row (the one seen first among equals), longest key."""
+
+    rows: int
+    width: int
+    longest_key: int
+
+
+def shape(rows: DataFrame) -> Shape:
+    """The shape of a query table, found in one job and kept with the frame, which doesn't change."""
+    known = rows.__dict__.get("_shape")
+    if known is None:
+        by = rows.groupBy(F.size("cells").alias("w")).agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max(F.length(F.get("cells", F.lit(0)))).alias("k"))
+        found = by.collect()
+        best = min(found, key=lambda r: (-r["n"], r["first"]), default=None)
+        known = rows._shape = Shape(sum(r["n"] for r in found), best["w"] if best else 0, max((r["k"] or 0 for r in found), default=0))
+    return known
+
+
 def width(rows: DataFrame) -> int:
-    """The commonest length of a query table's rows, the one seen first among equals; 0 without rows."""
-    top = rows.groupBy(F.size("cells").alias("w")).agg(F.count("*").alias("n"), F.min("row_id").alias("first")).orderBy(F.desc("n"), "first").first()
-    return top["w"] if top else 0
+    """The commonest length of a query table's rows; 0 without rows."""
+    return shape(rows).width
 
 
 def collect_rows(rows: DataFrame) -> list[tuple]:

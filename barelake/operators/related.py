@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import approx_equal
-from .model import Lake, settled, width
+from .model import Lake, settled, shape, width
 
 #: Defaults of the thresholds.
 RELATED, EDIT = 0.5, 0.1
@@ -21,6 +21,11 @@ RELATED, EDIT = 0.5, 0.1
 MAX_BROADCAST_ROWS = 200_000
 
 
+def query_side(query: DataFrame, df: DataFrame) -> DataFrame:
+    """df, of at most a few rows for each row of the query table, to be broadcast if the query table is small."""
+    return F.broadcast(df) if shape(query).rows <= MAX_BROADCAST_ROWS // 10 else df
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """df, to be broadcast if a count that stops at the limit shows it small."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
@@ -36,9 +41,9 @@ def key_pairs(query: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     """
     keys = query.select(F.lower(F.get("cells", F.lit(0))).alias("q_key")).distinct()
     same = keys.select("q_key", F.col("q_key").alias("d_key"))
-    long = keys.where(F.length("q_key") * F.lit(t) >= 1)
-    if t <= 0 or not long.limit(1).count():
+    if t <= 0 or shape(query).longest_key * t < 1:
         return same
+    long = keys.where(F.length("q_key") * F.lit(t) >= 1)
     n = F.length("q_key")
     # |a - b| < t (a + b) bounds b from both sides; beyond t = 1 every length would do.
     low, high = F.ceil(n * (1 - t) / (1 + t)), F.floor(n * (1 + t) / max(1e-9, 1 - t))
@@ -67,7 +72,7 @@ def match_rows(query: DataFrame, rows: DataFrame, t: float = EDIT, marked: list[
     q = query.select(*by, F.col("row_id").cast("long").alias("row_id"), F.col("cells").alias("q"), F.lower(F.get("cells", F.lit(0))).alias("q_key"))
     pairs = q.join(key_pairs(query, rows, t), "q_key").withColumnRenamed("q_key", "_")
     data = rows.select("table_id", F.col("row_id").alias("d_id"), F.col("cells"), F.lower(F.get("cells", F.lit(0))).alias("d_key"))
-    met = data.join(small_side(pairs), "d_key").withColumn("d", F.transform("cells", lambda c: F.lower(c)))
+    met = data.join(query_side(query, pairs) if shape(query).longest_key * t < 1 else small_side(pairs), "d_key").withColumn("d", F.transform("cells", lambda c: F.lower(c)))
     met = met.withColumn("places", F.when(F.size("d") > 1, F.sequence(F.lit(1), F.greatest(F.size("d") - 1, F.lit(1)))).otherwise(F.array().cast("array<int>")))
     choices = [_choices(k, t) for k in ks]
     met = met.withColumn("choices", F.array(*choices) if choices else F.array().cast("array<array<int>>"))
@@ -93,7 +98,7 @@ def best_mappings(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def related_tables(query: DataFrame, lake: Lake, related: float = RELATED, edit: float = EDIT, marked: list[int] | None = None) -> DataFrame:
     """related(rank, table_id, mapping, score): tables with a score of at least ``related``, best first, then by table id."""
-    n, w = query.count(), width(query)
+    n, w = shape(query).rows, width(query)
     found = best_mappings(match_rows(query, lake.rows, edit, marked)).where(F.col("votes") >= F.lit(related * n))
     sized = found.join(lake.tables.select("table_id", "num_rows", "num_cols"), "table_id").where((F.col("num_rows") >= related * n) & (F.col("num_cols") >= w))
     scored = sized.select("table_id", "mapping", (F.col("votes") / F.lit(float(max(n, 1)))).alias("score"))
