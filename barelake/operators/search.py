@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bm25
 from ..functions.text import JOINT, keyword_tokens, qgrams, query_words
 from .dml import column_groups, concatenate, extract
-from .model import Lake
-from .related import EDIT, RELATED, related_tables, small_side
+from .model import Lake, settled
+from .related import EDIT, MAX_BROADCAST_ROWS, RELATED, related_tables, small_side
 
 NGRAM, RESULTS = 5, 10
 
@@ -102,20 +104,22 @@ def column_search(query: DataFrame, lake: Lake, groups: str, ngram: int | None =
     mean = stats["avg_col_size"] if ngram is None else stats["avg_gram_length"]
     postings = cell_postings(lake) if ngram is None else gram_postings(lake, ngram)
     length = F.col("n") if ngram is None else F.when(F.col("avg_chars") < ngram, F.col("n")).otherwise(F.col("n") * (F.col("avg_chars") - ngram + 1))
-    found = None
-    for mark, columns in column_groups(groups).items():
-        terms = _query_terms(extract(query, columns), ngram).select("term", "weight", bm25.idf(F.col("size"), F.col("qtf")).alias("qidf"))
-        tf = postings.join(small_side(terms), "term").groupBy("term", "weight", "qidf", "table_id", "col_id").agg(F.count("*").alias("tf"))
-        # Postings of a term over all tables: only query terms are counted.
-        everywhere = tf.groupBy("term").agg((F.sum("tf") + 1).alias("df"))
-        known = tf.join(small_side(everywhere), "term").join(lake.columns.withColumn("length", length), ["table_id", "col_id"])
-        score = F.col("weight") * F.col("qidf") * bm25.idf(F.lit(stats["rows"]), F.col("df")) * bm25.saturation(F.col("tf"), F.col("length"), F.lit(mean), b, k)
-        by = known.groupBy("table_id", "col_id").agg(F.round(F.sum(score), 12).alias("score"))
-        best = by.groupBy("table_id").agg(F.max(F.struct("score", (-F.col("col_id")).alias("c"))).alias("m"))
-        one = best.select("table_id", F.lit(mark).alias("mark"), F.col("m.score").alias("score"), (-F.col("m.c")).alias("col_id"))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    marked = column_groups(groups)
+    if not marked:
         raise ValueError("no column is marked")
+    # The terms of all query columns meet the lake in one pass.
+    each = [_query_terms(extract(query, columns), ngram).select(F.lit(mark).alias("mark"), "term", "weight", bm25.idf(F.col("size"), F.col("qtf")).alias("qidf")) for mark, columns in marked.items()]
+    terms = settled(reduce(DataFrame.unionByName, each))
+    few = terms.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    side = F.broadcast if few else (lambda df: df)
+    tf = postings.join(side(terms), "term").groupBy("mark", "term", "weight", "qidf", "table_id", "col_id").agg(F.count("*").alias("tf"))
+    # Postings of a term over all tables: one row for each query term at most.
+    everywhere = tf.groupBy("mark", "term").agg((F.sum("tf") + 1).alias("df"))
+    known = tf.join(side(everywhere), ["mark", "term"]).join(lake.columns.withColumn("length", length), ["table_id", "col_id"])
+    score = F.col("weight") * F.col("qidf") * bm25.idf(F.lit(stats["rows"]), F.col("df")) * bm25.saturation(F.col("tf"), F.col("length"), F.lit(mean), b, k)
+    by = known.groupBy("mark", "table_id", "col_id").agg(F.round(F.sum(score), 12).alias("score"))
+    best = by.groupBy("mark", "table_id").agg(F.max(F.struct("score", (-F.col("col_id")).alias("c"))).alias("m"))
+    found = best.select("table_id", "mark", F.col("m.score").alias("score"), (-F.col("m.c")).alias("col_id"))
     total = found.groupBy("table_id").agg(F.round(F.product("score"), 9).alias("score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("mark", "col_id")))).alias("columns"))
     return _ranked(total, num_results)
 
