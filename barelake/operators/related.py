@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import approx_equal
-from .model import Lake, settled, shape, width
+from .model import Lake, numbered, settled, shape, width
 
 #: Defaults of the thresholds.
 RELATED, EDIT = 0.5, 0.1
@@ -136,5 +136,5 @@ def extend_rows(query: DataFrame, lake: Lake, related: float = RELATED, edit: fl
     # A repeated query row counts its start once.
     own = own.groupBy("cells").agg(F.min("s").alias("s"), F.min("at").alias("at"))
     scored = own.unionByName(projected).groupBy("cells").agg(F.sum("s").alias("s"), F.min("at").alias("at")).where(F.get("cells", F.lit(0)) != "")
-    return scored.select((F.row_number().over(Window.orderBy(F.desc(F.round("s", 9)), "at")) - 1).cast("long").alias("row_id"), "cells")
+    return numbered(scored, [F.desc(F.round("s", 9)), F.col("at"), F.col("cells")]).select("row_id", "cells")
 

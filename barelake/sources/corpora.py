@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.model import Lake
+from ..operators.model import Lake, numbered
 from ..operators.units import Literal, Split, SplitSubstr, Substring, Transformation
 
 
@@ -47,7 +47,7 @@ def from_csv_files(spark: SparkSession, path: str, header: bool = True, name: st
             yield pd.DataFrame(out, columns=["file", "row_id", "col_id", "value"])
 
     cells = files.select("path", "content").mapInPandas(parsed, "file string, row_id int, col_id int, value string")
-    ids = files.select("path").withColumn("table_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
+    ids = numbered(files.select("path"), ["path"], "table_id")
     return Lake(cells.join(ids, F.col("file") == F.col("path")).select("table_id", "row_id", "col_id", "value"))
 
 
@@ -55,9 +55,9 @@ def from_xml(spark: SparkSession, path: str, row_tag: str, table: str, fields: l
     """XML elements ``row_tag`` as rows, those with one value of ``table`` as one table, ``fields`` as columns."""
     schema = ", ".join(f"`{f}` string" for f in dict.fromkeys([table, *fields]))
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path).withColumn("id", F.monotonically_increasing_id())
-    ids = F.dense_rank().over(Window.orderBy(table)) - 1
+    ids = numbered(raw.select(F.col(table).alias("__table")).distinct(), ["__table"], "table_id")
     at = Window.partitionBy(table).orderBy("id")
-    rows = raw.select(ids.cast("long").alias("table_id"), (F.row_number().over(at) - 1).alias("row_id"), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields]).alias("cells"))
+    rows = raw.join(ids, F.col(table).eqNullSafe(F.col("__table"))).select("table_id", (F.row_number().over(at) - 1).alias("row_id"), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields]).alias("cells"))
     return Lake(rows.select("table_id", "row_id", F.posexplode("cells").alias("col_id", "value")))
 
 

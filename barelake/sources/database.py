@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.model import Lake, query_table
+from ..operators.model import Lake, numbered, query_table
 from .rows import format_cells, parse_cells
 
 
@@ -24,18 +24,13 @@ def read_database(spark: SparkSession, path: str) -> Lake:
     ids follow the files' order and the places in them.
     """
     raw = spark.read.option("lineSep", "\n\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    numbered = raw.withColumn("id", F.monotonically_increasing_id())
-    first = numbered.where("start = 0").groupBy("file").agg(F.min("id").alias("id")).select(F.col("id").alias("first_id"))
-    marked = numbered.join(F.broadcast(first), F.col("id") == F.col("first_id"), "left")
+    placed = raw.withColumn("id", F.monotonically_increasing_id())
+    first = placed.where("start = 0").groupBy("file").agg(F.min("id").alias("id")).select(F.col("id").alias("first_id"))
+    marked = placed.join(F.broadcast(first), F.col("id") == F.col("first_id"), "left")
     # The header is the file's first line; a table may follow it without a blank line.
     headless = F.when(F.col("first_id").isNull(), F.col("value")).otherwise(F.regexp_replace("value", r"^[^\n]*(\n|$)", ""))
     blocks = marked.select("id", headless.alias("block")).where(F.trim(F.regexp_replace("block", r"[\r\n]+", "")) != "")
-    # Dense ids: within each partition (the id's upper bits) by place, partitions by their offsets.
-    part = F.shiftright("id", 33)
-    sizes = blocks.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    dense = blocks.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1)
-    return tables_from_blocks(dense.select((F.col("offset") + F.col("k")).cast("long").alias("table_id"), "block"))
+    return tables_from_blocks(numbered(blocks, ["id"], "table_id").select("table_id", "block"))
 
 
 def import_database(lake: Lake, path: str) -> Lake:
