@@ -20,13 +20,16 @@ ROWS = "row_id long, cells array<string>"
 
 @dataclass
 class Lake:
-    """A collection of bare tables."""
+    """A collection of bare tables: its cells and, if the source has them, its rows, which else are gathered from the cells."""
 
     cells: DataFrame
+    wide: DataFrame | None = None
 
     @cached_property
     def rows(self) -> DataFrame:
         """rows(table_id, row_id, cells)."""
+        if self.wide is not None:
+            return self.wide
         packed = self.cells.groupBy("table_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("col_id", "value"))).alias("c"))
         return packed.select("table_id", "row_id", F.col("c.value").alias("cells"))
 
@@ -42,7 +45,11 @@ class Lake:
 
         One small row for each table, settled, as every search and comparison needs it.
         """
-        per_row = self.cells.groupBy("table_id", "row_id").agg(F.count("*").alias("width"), F.sum(F.size(F.split("value", " "))).alias("words"))
+        if self.wide is not None:
+            words = F.aggregate("cells", F.lit(0), lambda n, c: n + F.size(F.split(c, " ")))
+            per_row = self.wide.select("table_id", "row_id", F.size("cells").cast("long").alias("width"), words.alias("words"))
+        else:
+            per_row = self.cells.groupBy("table_id", "row_id").agg(F.count("*").alias("width"), F.sum(F.size(F.split("value", " "))).alias("words"))
         widths = per_row.groupBy("table_id", "width").agg(F.count("*").alias("rows"), F.min("row_id").alias("first"), F.sum("words").alias("words"))
         w = Window.partitionBy("table_id")
         best = widths.withColumn("r", F.row_number().over(w.orderBy(F.desc("rows"), "first"))).withColumn("num_rows", F.sum("rows").over(w)).withColumn("all_words", F.sum("words").over(w))
@@ -57,22 +64,27 @@ class Lake:
     def append(self, other: Lake) -> Lake:
         """Both lakes; the other's tables are numbered on after this one's."""
         top = self.cells.agg(F.max("table_id").alias("m")).first()["m"]
-        shift = 0 if top is None else top + 1
-        return Lake(self.cells.unionByName(other.cells.withColumn("table_id", F.col("table_id") + F.lit(shift))))
+        moved = lambda df: df.withColumn("table_id", F.col("table_id") + F.lit(0 if top is None else top + 1))
+        wide = self.wide.unionByName(moved(other.wide)) if self.wide is not None and other.wide is not None else None
+        return Lake(self.cells.unionByName(moved(other.cells)), wide)
+
+
+def lake_from_rows(wide: DataFrame) -> Lake:
+    """A lake of rows (table_id, row_id, cells)."""
+    return Lake(wide.select("table_id", "row_id", F.posexplode("cells").alias("col_id", "value")), wide)
 
 
 def lake_from_frame(df: DataFrame, table: str, order: list[str], values: list[str]) -> Lake:
     """Each distinct ``table`` value is a bare table; its rows in ``order``; ``values`` become columns as strings, null as empty."""
     at = Window.partitionBy(table).orderBy(*order)
     cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in values])
-    numbered = df.select(F.col(table).cast("long").alias("table_id"), (F.row_number().over(at) - 1).alias("row_id"), cells.alias("cells"))
-    return Lake(numbered.select("table_id", "row_id", F.posexplode("cells").alias("col_id", "value")))
+    return lake_from_rows(df.select(F.col(table).cast("long").alias("table_id"), (F.row_number().over(at) - 1).alias("row_id"), cells.alias("cells")))
 
 
 def lake_from_lines(df: DataFrame, table: str, text: str) -> Lake:
     """Each row of df is a bare table of one column, with a row for each line of its text."""
     lines = df.select(F.col(table).cast("long").alias("table_id"), F.posexplode(F.split(text, "\n")).alias("row_id", "value"))
-    return Lake(lines.select("table_id", "row_id", F.lit(0).alias("col_id"), "value"))
+    return Lake(lines.select("table_id", "row_id", F.lit(0).alias("col_id"), "value"), lines.select("table_id", "row_id", F.array("value").alias("cells")))
 
 
 def query_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:

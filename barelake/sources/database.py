@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.model import Lake, numbered, query_table
+from ..operators.model import Lake, lake_from_rows, numbered, query_table
 from .rows import format_cells, parse_cells
 
 
 def tables_from_blocks(blocks: DataFrame) -> Lake:
     """A lake from (table_id, block), a block holding the lines of one table."""
     lines = blocks.select("table_id", F.posexplode(F.filter(F.split("block", "\r?\n"), lambda s: F.trim(s) != "")).alias("row_id", "line"))
-    cells = lines.select("table_id", "row_id", F.posexplode(parse_cells(F.col("line"))).alias("col_id", "value"))
-    return Lake(cells)
+    return lake_from_rows(lines.select("table_id", "row_id", parse_cells(F.col("line")).alias("cells")))
 
 
 def read_database(spark: SparkSession, path: str) -> Lake:
