@@ -131,21 +131,22 @@ def rows_to_cells(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Shape:
-    """Facts about a query table: rows, the commonest length of a row (the one seen first among equals), longest key."""
+    """Facts about a query table: rows, the commonest length of a row (the one seen first among equals), longest key and cell."""
 
     rows: int
     width: int
     longest_key: int
+    longest_cell: int
 
 
 def shape(rows: DataFrame) -> Shape:
     """The shape of a query table, found in one job and kept with the frame, which doesn't change."""
     known = rows.__dict__.get("_shape")
     if known is None:
-        by = rows.groupBy(F.size("cells").alias("w")).agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max(F.length(F.get("cells", F.lit(0)))).alias("k"))
+        by = rows.groupBy(F.size("cells").alias("w")).agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max(F.length(F.get("cells", F.lit(0)))).alias("k"), F.max(F.array_max(F.transform("cells", F.length))).alias("c"))
         found = by.collect()
         best = min(found, key=lambda r: (-r["n"], r["first"]), default=None)
-        known = rows._shape = Shape(sum(r["n"] for r in found), best["w"] if best else 0, max((r["k"] or 0 for r in found), default=0))
+        known = rows._shape = Shape(sum(r["n"] for r in found), best["w"] if best else 0, max((r["k"] or 0 for r in found), default=0), max((r["c"] or 0 for r in found), default=0))
     return known
 
 

@@ -74,7 +74,9 @@ def match_rows(query: DataFrame, rows: DataFrame, t: float = EDIT, marked: list[
     data = rows.select("table_id", F.col("row_id").alias("d_id"), F.col("cells"), F.lower(F.get("cells", F.lit(0))).alias("d_key"))
     met = data.join(query_side(query, pairs) if shape(query).longest_key * t < 1 else small_side(pairs), "d_key").withColumn("d", F.transform("cells", lambda c: F.lower(c)))
     met = met.withColumn("places", F.when(F.size("d") > 1, F.sequence(F.lit(1), F.greatest(F.size("d") - 1, F.lit(1)))).otherwise(F.array().cast("array<int>")))
-    choices = [_choices(k, t) for k in ks]
+    # Where every query value is short, approximate equality is equality; the plan then holds no distance.
+    short = shape(query).longest_cell * t < 1
+    choices = [_choices(k, 0 if short else t) for k in ks]
     met = met.withColumn("choices", F.array(*choices) if choices else F.array().cast("array<array<int>>"))
     met = met.where(F.forall("choices", lambda c: F.size(c) > 0))
     first = met.groupBy(*by, "row_id", "table_id").agg(F.min_by(F.struct("d_id", "cells", "choices"), F.col("d_id")).alias("m"))
