@@ -44,11 +44,13 @@ def key_pairs(query: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     if t <= 0 or shape(query).longest_key * t < 1:
         return same
     long = keys.where(F.length("q_key") * F.lit(t) >= 1)
-    n = F.length("q_key")
-    # |a - b| < t (a + b) bounds b from both sides; beyond t = 1 every length would do.
-    low, high = F.ceil(n * (1 - t) / (1 + t)), F.floor(n * (1 + t) / max(1e-9, 1 - t))
-    laid = long.withColumn("len", F.explode(F.sequence(low.cast("int"), F.least(high, F.lit(10_000)).cast("int"))))
     vocabulary = rows.select(F.lower(F.get("cells", F.lit(0))).alias("d_key")).distinct().withColumn("d_len", F.length("d_key"))
+    longest = vocabulary.agg(F.max("d_len").alias("m")).first()["m"] or 0
+    n = F.length("q_key")
+    # |a - b| < t (a + b) bounds b from both sides; the lake's longest key does as well.
+    low = F.ceil(n * (1 - t) / (1 + t)).cast("int")
+    high = F.least(F.floor(n * (1 + t) / (1 - t)), F.lit(longest)).cast("int") if t < 1 else F.lit(longest)
+    laid = long.where(low <= high).withColumn("len", F.explode(F.sequence(low, high)))
     near = vocabulary.join(small_side(laid), F.col("len") == F.col("d_len")).where(approx_equal(F.col("q_key"), F.col("d_key"), t) & (F.col("q_key") != F.col("d_key")))
     return same.unionByName(near.select("q_key", "d_key"))
 
