@@ -51,8 +51,8 @@ def keyword_search(lake: Lake, keywords: str, num_results: int | None = RESULTS,
     wanted = spark.createDataFrame([(i, w, len(set(ws)), j == len(ws) - 1) for i, ws in terms for j, w in enumerate(ws)], "term int, word string, size int, last boolean")
     words = keyword_postings(lake).where(F.col("word").isin(sorted({w for _, ws in terms for w in ws})))
     # Per cell first: how often each word of a term is there.
-    cells = words.groupBy("word", "table_id", "row_id", "col_id").agg(F.count("*").alias("n"))
-    met = cells.join(F.broadcast(wanted.groupBy("term", "word", "size").agg(F.max("last").alias("last"))), "word")
+    counted = words.groupBy("word", "table_id", "row_id", "col_id").agg(F.count("*").alias("n"))
+    met = counted.join(F.broadcast(wanted.groupBy("term", "word", "size").agg(F.max("last").alias("last"))), "word")
     per_cell = met.groupBy("term", "table_id", "row_id", "col_id", "size").agg(F.count("*").alias("words"), F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("last_n"))
     per_table = per_cell.groupBy("term", "table_id").agg(F.sum("last_n").alias("last_n"), F.count_if(F.col("words") == F.col("size")).alias("whole"))
     hits = per_table.where("whole > 0").select("term", "table_id", F.col("whole" if cell_frequency else "last_n").alias("tf"))
