@@ -197,7 +197,7 @@ class Session:
         key = (c.source, p.ngram_size, p.b, p.k, p.num_results, p.related_threshold, p.editdist_threshold, p.overlap_threshold)
         if c.source.name == "table_search":
             table = self._table(a[0])
-            key = (*key, id(table))
+            key = (*key, table)  # the frame itself: a table that was changed is another one
         if key not in self._searches:
             lake = self._lake()
             if c.source.name == "keyword_search":
