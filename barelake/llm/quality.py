@@ -8,16 +8,26 @@ ORDER there are at most CLASSES ** ORDER n-grams, however large the corpus is;
 so the finished model is a table of a fixed size, and each task scores whole
 texts by it without moving them. Documents whose perplexity is above a quantile
 of the trusted documents of their language are rejected.
+
+The query uses the same kind of model over code points as they
+are (``Points``), whose alphabet comes from the trusted texts and whose n-grams
+grow with them. It stays in the cluster: probabilities are sharded by n-gram,
+backoff weights by context, and what texts ask for is joined with them.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from .common import MAX_BROADCAST_ROWS, lookup_side, reliable
+from .common import MAX_BROADCAST_ROWS, lookup_side, reliable, union_all
 
 ORDER = 4
 CLASSES = 48
@@ -81,21 +91,32 @@ _SPACES = (28, 29)
 _AGAIN = 45
 
 
-def symbols(text: str) -> np.ndarray:
-    """The classes of a text's characters, with ORDER - 1 line ends before them and one after."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _repeats(codes: np.ndarray) -> np.ndarray:
+    """Places of the white space between a word and the same word again."""
     own = _CLASS_OF[np.minimum(codes, 0xFFFF)]
     space = (own == _SPACES[0]) | (own == _SPACES[1])
     starts = np.nonzero(~space & np.concatenate([[True], space[:-1]]))[0]
-    if len(starts) > 1:
-        ends = np.nonzero(~space & np.concatenate([space[1:], [True]]))[0] + 1
-        sizes = ends - starts
-        inside = np.nonzero(~space)[0]
-        first = np.cumsum(sizes) - sizes
-        mixed = (codes[inside].astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(inside)) - np.repeat(first, sizes) + 1).astype(np.uint64)
-        mixed ^= mixed >> np.uint64(29)
-        words = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), first)
-        own[starts[1:][(words[1:] == words[:-1]) & (sizes[1:] == sizes[:-1])] - 1] = _AGAIN
+    if len(starts) < 2:
+        return starts[:0]
+    ends = np.nonzero(~space & np.concatenate([space[1:], [True]]))[0] + 1
+    sizes = ends - starts
+    inside = np.nonzero(~space)[0]
+    first = np.cumsum(sizes) - sizes
+    mixed = (codes[inside].astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(inside)) - np.repeat(first, sizes) + 1).astype(np.uint64)
+    mixed ^= mixed >> np.uint64(29)
+    words = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), first)
+    return starts[1:][(words[1:] == words[:-1]) & (sizes[1:] == sizes[:-1])] - 1
+
+
+def symbols(text: str) -> np.ndarray:
+    """The classes of a text's characters, with ORDER - 1 line ends before them and one after."""
+    codes = _code_points(text)
+    own = _CLASS_OF[np.minimum(codes, 0xFFFF)]
+    own[_repeats(codes)] = _AGAIN
     out = np.full(len(codes) + ORDER, 28, np.uint8)
     out[ORDER - 1 : -1] = own
     return out
@@ -185,14 +206,150 @@ def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def score(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with ``__sum`` (minus log-probability) and ``__n`` (characters and the end). Null texts count as empty."""
+#: Bits of a code point; a context of ORDER - 1 of them fits a long, without hashing.
+POINT = 21
+#: Stands for the white space between a word and the same word again; no code point.
+AGAIN_POINT = 0x110000
+#: Characters of a block of texts that asks for its n-grams at once.
+BLOCK = 1 << 22
+
+
+def points(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Context and last code point of the n-gram that ends at each character, and at the end."""
+    codes = _code_points(text)
+    s = np.full(len(codes) + ORDER, 10, np.int64)
+    s[ORDER - 1 : -1] = codes
+    s[_repeats(codes) + ORDER - 1] = AGAIN_POINT
+    n = len(s) - ORDER + 1
+    context = s[:n]
+    for k in range(1, ORDER - 1):
+        context = context << POINT | s[k : k + n]
+    return context, s[ORDER - 1 :]
+
+
+def _distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, last code points and numbers of the different n-grams."""
+    known, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    keys, n = np.unique(at.astype(np.int64) << POINT | np.concatenate([c for _, c in held]), return_counts=True)
+    return known[keys >> POINT], keys & (1 << POINT) - 1, n
+
+
+@F.pandas_udf(BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    """Texts as they are moved; null stays null."""
+    box = zstandard.ZstdCompressor(level=3)
+    return texts.map(lambda t: None if t is None else box.compress(t.encode("utf-8", "surrogatepass")))
+
+
+def _unpacked(data: bytes | None) -> str | None:
+    return None if data is None else zstandard.decompress(data).decode("utf-8", "surrogatepass")
+
+
+def _count_points(docs: DataFrame) -> DataFrame:
+    """Rows (block, context, c, n) of (block, text), packed or not, several for an n-gram where a block is long or met in parts."""
+    arrow = pa.schema([("block", pa.int64()), ("context", pa.int64()), ("c", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        held, size, now = [], 0, None
+
+        def settle():
+            context, c, n = _distinct(held)
+            for k in range(0, len(n), 65_536):
+                some = slice(k, k + 65_536)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n[some]), now, np.int64)), pa.array(context[some]), pa.array(c[some].astype(np.int32)), pa.array(n[some].astype(np.int64))], schema=arrow)
+
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and (block != now or size > BLOCK):
+                    yield from settle()
+                    held, size = [], 0
+                now = block
+                held.append(points((_unpacked(text) if isinstance(text, bytes) else text) or ""))
+                size += len(held[-1][0])
+        if held:
+            yield from settle()
+
+    return docs.mapInArrow(run, "block long, context long, c int, n long")
+
+
+def _suffix(order: int) -> Column:
+    """The context of a lower order, from one of any higher order."""
+    return F.col("context").bitwiseAND(F.lit((1 << POINT * (order - 1)) - 1))
+
+
+class Points:
+    """Interpolated modified Kneser-Ney over code points: for each order a table of probabilities and one of backoff weights."""
+
+    def __init__(self, docs: DataFrame, text_col: str = "text") -> None:
+        texts = docs.select(F.lit(0).cast("long").alias("block"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+        tables = [reliable(_count_points(texts).groupBy("context", "c").agg(F.sum("n").alias("n")))]
+        for order in range(ORDER - 1, 0, -1):
+            tables.append(reliable(tables[-1].groupBy(_suffix(order).alias("context"), "c").agg(F.count("*").alias("n"))))
+        tables.reverse()
+        self.probabilities, self.weights = [], []
+        #: An unseen character has the share of one more of the alphabet.
+        self.floor = 1.0 / (tables[0].count() + 1)
+        for order, table in enumerate(tables, 1):
+            d = _discounts(table)
+            contexts = reliable(table.groupBy("context").agg(F.sum("n").alias("total"), (F.sum(_discount(F.col("n"), d)) / F.sum("n")).alias("weight")))
+            share = (F.col("n") - _discount(F.col("n"), d)) / F.col("total")
+            keyed = table.join(F.broadcast(contexts) if order == 1 else contexts, "context")
+            if order == 1:
+                found = keyed.select("context", "c", (share + F.col("weight") * self.floor).alias("p"))
+                self.floor *= (contexts.first() or {"weight": 1.0})["weight"]
+            else:
+                below = self.probabilities[-1].select(F.col("context").alias("__context"), F.col("c").alias("__c"), F.col("p").alias("__p"))
+                found = keyed.join(below, (_suffix(order - 1) == F.col("__context")) & (F.col("c") == F.col("__c"))).select("context", "c", (share + F.col("weight") * F.col("__p")).alias("p"))
+            self.probabilities.append(reliable(found))
+            self.weights.append(contexts.select("context", "weight"))
+
+    def look_up(self, asked: DataFrame) -> DataFrame:
+        """asked (context, c) with ``lp``: the log-probability by the longest known n-gram and the weights of the contexts above it."""
+        chain = F.lit(math.log(self.floor))
+        for order in range(1, ORDER + 1):
+            p = self.probabilities[order - 1].select(F.col("context").alias(f"__x{order}"), F.col("c").alias(f"__c{order}"), F.col("p").alias(f"__p{order}"))
+            asked = asked.join(p, (_suffix(order) == F.col(f"__x{order}")) & (F.col("c") == F.col(f"__c{order}")), "left")
+            if order > 1:
+                w = self.weights[order - 1].select(F.col("context").alias(f"__y{order}"), F.col("weight").alias(f"__w{order}"))
+                asked = asked.join(w, _suffix(order) == F.col(f"__y{order}"), "left")
+                chain = chain + F.log(F.coalesce(F.col(f"__w{order}"), F.lit(1.0)))
+            chain = F.coalesce(F.log(f"__p{order}"), chain)
+        return asked.select("context", "c", chain.alias("lp"))
+
+    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """docs with ``__score``. Texts are dealt into blocks; a block's different n-grams are joined with the tables, and come back to its texts."""
+        text, columns = F.col(text_col).cast("string"), docs.columns
+        docs = docs.withColumn(text_col, text)
+        blocks = 1 + (docs.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0) // BLOCK
+        hashed = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+        dealt = docs.withColumn("__block", F.pmod(F.xxhash64(*hashed), F.lit(blocks))).withColumn("__text", _packed(text_col)).drop(text_col).repartition("__block")
+        grams = _count_points(dealt.sortWithinPartitions("__block").select("__block", "__text")).select("block", "context", "c").repartition("context", "c")
+        found = grams.join(self.look_up(grams.select("context", "c").distinct()), ["context", "c"])
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            context, lp = right["context"].to_numpy(), right["lp"].to_numpy()
+            known = np.unique(context)
+            keys, at = np.unique(np.searchsorted(known, context) << POINT | right["c"].to_numpy(), return_index=True)
+            lp, texts, sums, sizes = lp[at], [_unpacked(t) for t in left["__text"].to_pylist()], [], []
+            for t in texts:
+                x, c = points(t or "")
+                sums.append(-float(lp[np.searchsorted(keys, np.searchsorted(known, x) << POINT | c)].sum()))
+                sizes.append(len(x))
+            scores = pa.StructArray.from_arrays([pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], ["s", "n"])
+            return left.append_column(text_col, pa.array(texts, pa.string())).select(columns).append_column("__score", scores)
+
+        schema = StructType([*docs.schema.fields, StructField("__score", StructType([StructField("s", DoubleType()), StructField("n", LongType())]))])
+        return dealt.groupBy("__block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
+
+
+def score(docs: DataFrame, table: np.ndarray | Points, text_col: str = "text") -> DataFrame:
+    """docs with ``__score``: ``s`` (minus log-probability) and ``n`` (characters and the end). Null texts count as empty."""
+    if isinstance(table, Points):
+        return table.score(docs, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("struct<s double, n long>")
     def run(texts):
-        import pandas as pd
-
         sums, sizes = [], []
         for t in texts:
             g = codes(t or "")
@@ -213,7 +370,7 @@ def trusted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataF
 class Classifier:
     """A fitted model with the mean and the threshold of each language."""
 
-    def __init__(self, table: np.ndarray, means: dict, thresholds: dict, mean: float, threshold: float) -> None:
+    def __init__(self, table: np.ndarray | Points, means: dict, thresholds: dict, mean: float, threshold: float) -> None:
         self.table, self.means, self.thresholds, self.mean, self.threshold = table, means, thresholds, mean, threshold
 
     def _by_lang(self, lang: Column, values: dict, otherwise: float) -> Column:
@@ -241,15 +398,21 @@ class Classifier:
 MOST_LANGUAGES = 500
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model=fit) -> Classifier:
     """Fit the model and the thresholds on all trusted documents.
 
-    Texts that are null aren't trained on. Without trusted documents the model
+    model: fit for classes, Points for code points. Texts that are null aren't trained on. Without trusted documents the model
     is uniform and every document is kept.
     """
     good = trusted(docs, labels, id_col).where(F.col(text_col).isNotNull())
-    table = fit(good, text_col)
-    scored = reliable(score(good.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), table).select("lang", F.col("__score.s").alias("s"), F.col("__score.n").alias("n")))
+    table = model(good, text_col)
+    plain = good.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    if model is fit:
+        parts = [score(plain, table)]
+    else:  # a model that grows with its texts knows them too well: each half is measured by a model of the other
+        half = F.pmod(F.xxhash64("text"), F.lit(2))
+        parts = [score(plain.where(half == k), model(plain.where(half != k))) for k in (0, 1)]
+    scored = reliable(union_all(parts).select("lang", F.col("__score.s").alias("s"), F.col("__score.n").alias("n")))
     mean = F.sum("s") / F.sum("n")
     all_mean = scored.agg(mean.alias("m")).first()["m"]
     if all_mean is None:
@@ -263,10 +426,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Classifier(table, means, thresholds, all_mean, shrunk.agg(limit).first()["t"] + MARGIN)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model=fit) -> DataFrame:
     """Rows (doc_id, lang, perplexity, threshold, keep), one for each row of docs, null ids and repeated rows included."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return train(plain, labels).judge(plain).drop("text")
+    return train(plain, labels, model=model).judge(plain).drop("text")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), model=quality.Points)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

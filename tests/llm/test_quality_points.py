@@ -1,0 +1,72 @@
+"""The model over code points: against its definition, and that it tells scripts, letters and words apart."""
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from barelake.llm import quality
+
+N = quality.ORDER
+TEXTS = ["the stone and the small house.", "река и малый дом у реки", "Déjà vu, déjà vu vu vu", "", "漢字 と かな \U0001f600"] * 3 + ["ten 10 Ten TEN"]
+
+
+def grams(text):
+    context, c = quality.points(text)
+    mask = (1 << quality.POINT) - 1
+    return [(*(int(x) >> quality.POINT * k & mask for k in range(N - 2, -1, -1)), int(y)) for x, y in zip(context, c)]
+
+
+def brute(texts):
+    counts = {N: Counter(g for t in texts for g in grams(t))}
+    for k in range(N - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    tables = {}
+    for k, c in counts.items():
+        n = [sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [min(max(j - (j + 1) * y * n[j] / n[j - 1] if n[j - 1] and n[j] else j * 0.5, 0.05), j - 0.05) for j in (1, 2, 3)]
+        total, spare = defaultdict(int), defaultdict(float)
+        for g, v in c.items():
+            total[g[:-1]] += v
+            spare[g[:-1]] += d[min(v, 3) - 1]
+        tables[k] = (c, d, total, spare)
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        c, d, total, spare = tables[len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        v = c[g]
+        return ((v - d[min(v, 3) - 1] if v else 0) + spare[g[:-1]] * p(g[1:])) / total[g[:-1]]
+
+    return p
+
+
+@pytest.mark.parametrize("block", [1 << 22, 40])
+def test_against_definition(spark, monkeypatch, block):
+    monkeypatch.setattr(quality, "BLOCK", block)
+    model, p = quality.Points(spark.createDataFrame([(t,) for t in [*TEXTS, None]], "text string")), brute(TEXTS)
+    asked = [*TEXTS, None, "unseen Ж and ж; 漢 \U0001f601", "the the the"]
+    got = model.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        want = grams(asked[r["doc_id"]] or "")
+        assert r["__score"]["n"] == len(want)
+        assert r["__score"]["s"] == pytest.approx(-sum(math.log(p(g)) for g in want), rel=1e-9)
+
+
+def test_letters_of_other_scripts_matter(spark):
+    """Classes gave every text of one shape in Cyrillic the same score."""
+    rng = np.random.default_rng(4)
+    words = ["река", "дом", "поле", "лес", "камень", "город"]
+    good = [" ".join(rng.choice(words, 40)) for _ in range(40)]
+    junk = "".join(" " if c == " " else chr(0x430 + int(rng.integers(32))) for c in good[0])
+    docs = spark.createDataFrame([*((i, t, "ru") for i, t in enumerate(good)), (99, junk, "ru")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    keep = lambda **o: {r["doc_id"]: r["keep"] for r in quality.classify(docs, labels, **o).collect()}
+    assert keep()[99]
+    got = keep(model=quality.Points)
+    assert not got[99] and all(got[i] for i in range(40))
