@@ -142,22 +142,29 @@ def _automaton():
     return a
 
 
-#: One of these is in any match of a rule.
+#: Names that are words of prose too; they count alone only where one of _CUES is in the text.
+_PROSE = ("boost", "elastic")
 _CUES = ("licen", "copyright", "rights", "public domain", "cc by", "cc-by", "spdx", "proprietary", "unauthori", "©", "(c)", "hereby granted", "without fee", "binary forms", "as-is", "released", "distribut", "available", "published", "provided", "covered", "governed", "verbatim", "gnu ")
 
 
+def _collapsed(low: str) -> str:
+    """The text that keywords are sought in: each run of white space is one space, as patterns take it."""
+    return low if low.isascii() and "  " not in low and not any(c in low for c in "\t\n\r\f\v\x1c\x1d\x1e\x1f") else re.sub(r"\s+", " ", low)
+
+
 def detect(text: str | None) -> list[tuple[str, int, int, float]]:
     """(label, start, end, score) of the detections that stand, by place."""
     if not text:
         return []
     low = "".join(c if len(x := c.lower()) != 1 else x for c in text) if not text.isascii() and len(text.lower()) != len(text) else text.lower()
-    if not any(w in low for w in _CUES):
-        return []
-    gated = sorted({i for _, which in _automaton().iter(low) for i in which})
+    flat = _collapsed(low)
+    gated = sorted({i for _, which in _automaton().iter(flat) for i in which})
     found = []
     for i in gated:
         r = rules()[i]
         found += [(-r.priority, m.start() - m.end(), m.start(), m.end(), r) for m in r.pattern.finditer(low)]
+    if any(low[a:b] in _PROSE for _, _, a, b, _ in found) and not any(w in flat for w in _CUES):
+        found = [f for f in found if low[f[2] : f[3]] not in _PROSE]
     taken: list[tuple[int, int, Rule]] = []
     for _, _, a, b, r in sorted(found, key=lambda f: f[:4]):
         if all(b <= x or a >= y for x, y, _ in taken):
