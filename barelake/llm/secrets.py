@@ -4,7 +4,8 @@ A worklist starts with the text. Each layer is scanned, then unwrapped in every
 way that applies: percent escapes, Unicode and character-reference escapes,
 base64, and compression beneath base64. What results is a layer of its own,
 with a map from its offsets to those of the text, until nothing new comes out;
-a layer that was seen before isn't entered again, which ends cycles.
+a layer that was seen before at the same place isn't entered again, which ends
+cycles; the same blob at another place is.
 """
 
 from __future__ import annotations
@@ -194,7 +195,7 @@ def find(text: str | None) -> list[Span]:
     if "PRIVATE KEY" in text:
         out += [("private_key", m.start(), m.end()) for m in _KEY.finditer(text)]
     plain = {(k, a, b) for k, a, b in base}
-    work, seen = [_Layer(text, [], None)], {text}
+    work, seen = [_Layer(text, [], None)], {(text, 0, len(text))}
     while work:
         layer = work.pop()
         if layer.below is not None:
@@ -211,8 +212,9 @@ def find(text: str | None) -> list[Span]:
         more, large = _base64(layer)
         out += [("oversize", *layer.place(a, b)) for a, b in large]
         for x in new + more:
-            if x.text not in seen:
-                seen.add(x.text)
+            key = (x.text, *x.place(0, len(x.text)))
+            if key not in seen:
+                seen.add(key)
                 work.append(x)
     return list(dict.fromkeys(out))
 
