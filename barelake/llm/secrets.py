@@ -13,13 +13,16 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
 import html
 import io
+import itertools
 import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -30,7 +33,7 @@ from .common import map_batches
 from .spans import Span, digest, written
 
 BASE = ("assign", "access", "hex")
-#: Found beneath a layer; ``oversize`` marks a compressed layer that unpacks to more than MAX_LAYER bytes, whose beginning is scanned.
+#: Found beneath a layer; ``oversize`` marks a compressed layer that unpacks to more than MAX_LAYER bytes, which is scanned in stretches.
 ADDED = ("decoded_assign", "decoded_access", "decoded_hex", "private_key", "oversize")
 ORDER = {k: i for i, k in enumerate(BASE + ADDED)}
 MAX_LAYER = 64 << 20
@@ -41,7 +44,15 @@ _KEY = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
 _HEXES, _B64 = b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _HEX_MAP = bytes(120 if c in _HEXES else 32 for c in range(256))
 _B64_MAP = bytes(120 if c in _B64 else 32 for c in range(256))
-_LEAST_B64 = 20
+#: The least run that holds a secret: that of 12 bytes, "token=abcdef".
+_LEAST_B64 = 16
+#: Bytes that a decompressor may take.
+_MEMORY = 256 << 20
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+")
+#: Characters that two stretches of a long inflated layer have in common.
+OVERLAP = 1 << 16
+#: Decoded text may hold this share of characters that don't print.
+_ODD = 0.1
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|lt|gt|apos|colon|equals);")
 
@@ -127,63 +138,130 @@ def _escape(run: str) -> str | None:
 
 
 def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    bad = sum(not (c.isprintable() or c in "\r\n\t") for c in text)
-    return text if text and not bad else None
+    """The text, if it is UTF-8 but for a small share of odd characters or holds something to find."""
+    text = data.decode("utf-8", "replace")
+    bad = sum(not (c.isprintable() or c in "\r\n\t") or c == "\ufffd" for c in text)
+    return text if text and (bad <= _ODD * len(text) or scan_layer(text) or _KEY.search(text)) else None
 
 
-def _unpack(data: bytes) -> tuple[bytes, bool] | None:
-    """The contents of a compressed run and whether they go on beyond MAX_LAYER; None if it isn't one."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            box = zlib.decompressobj(47)
-            out = box.decompress(data, MAX_LAYER)
-            return out, bool(box.unconsumed_tail)
-        if data[:3] == b"BZh":
-            box = bz2.BZ2Decompressor()
-            out = box.decompress(data, MAX_LAYER)
-            return out, not box.eof and not box.needs_input
-        if data[:6] == b"\xfd7zXZ\x00":
-            box = lzma.LZMADecompressor(memlimit=4 * MAX_LAYER)
-            out = box.decompress(data, MAX_LAYER)
-            return out, not box.eof and not box.needs_input
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor(max_window_size=MAX_LAYER).stream_reader(io.BytesIO(data)) as f:
-                out = f.read(MAX_LAYER)
-                return out, bool(f.read(1))
-    except Exception:  # damaged data isn't a layer
-        return None
-    return None
+class _Reader(io.RawIOBase):
+    """Chunks of bytes as a file."""
+
+    def __init__(self, chunks: Iterator[bytes]) -> None:
+        self.chunks, self.rest = chunks, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        self.rest = self.rest or next(self.chunks, b"")
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
 
+def _inflated(head: bytes, chunks: Iterator[bytes]) -> Iterator[bytes] | None:
+    """The contents of a compressed stream in chunks of at most MAX_LAYER bytes; None if it isn't one. Damage ends it."""
+    gzipped = head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0
+    zstd = head[:4] == b"\x28\xb5\x2f\xfd"
+    if not (gzipped or zstd or head[:3] == b"BZh" or head[:6] == b"\xfd7zXZ\x00"):
+        return None
 
-def _base64(layer: _Layer) -> tuple[list[_Layer], list[tuple[int, int]]]:
-    """Layers decoded from runs that hold text, perhaps compressed; the spans of those that are too large."""
-    out, large = [], []
-    for a, b in _runs(layer.text, _B64_MAP, _LEAST_B64):
-        run = layer.text[a:b].replace("-", "+").replace("_", "/")
+    def run() -> Iterator[bytes]:
+        try:
+            if zstd:
+                import zstandard
+
+                with zstandard.ZstdDecompressor(max_window_size=_MEMORY // 4).stream_reader(io.BufferedReader(_Reader(chunks))) as f:
+                    while out := f.read(MAX_LAYER):
+                        yield out
+                return
+            box = zlib.decompressobj(47) if gzipped else bz2.BZ2Decompressor() if head[:1] == b"B" else lzma.LZMADecompressor(memlimit=_MEMORY)
+            for data in chunks:
+                more = True
+                while more and not box.eof:
+                    out = box.decompress(data, MAX_LAYER)
+                    data = box.unconsumed_tail if gzipped else b""
+                    more = bool(data or len(out) == MAX_LAYER) if gzipped else not box.needs_input
+                    if out:
+                        yield out
+        except Exception:  # damaged data isn't a layer
+            return
+
+    return run()
+
+
+def _unpack(data: bytes) -> Iterator[bytes] | None:
+    """What is beneath all compression of data, in chunks; None if it isn't compressed."""
+    chunks, head, known, unpacked = iter([data]), data, set(), False
+    while head and head not in known and (inner := _inflated(head, chunks)) is not None:
+        known.add(head)
+        unpacked = True
+        head = next(inner, b"")
+        chunks = itertools.chain([head], inner)
+    return chunks if unpacked else None
+
+
+def _stretches(chunks: Iterator[bytes]) -> Iterator[str]:
+    """The text of chunks in stretches of MAX_LAYER characters or more, each beginning with the end of the one before."""
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    overlap, parts, size, fresh = min(OVERLAP, MAX_LAYER // 2), [], 0, False
+    for chunk in chunks:
+        if fresh and size >= MAX_LAYER:
+            text = "".join(parts)
+            yield text
+            parts, size, fresh = [text[-overlap:]], overlap, False
+        parts.append(decode(chunk))
+        size += len(parts[-1])
+        fresh = fresh or bool(chunk)
+    if fresh:
+        yield "".join(parts) + decode(b"", True)
+
+
+def _encoded(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of base64 runs; of runs over line breaks also the whole, and it without its last line, which may be other text."""
+    for a, b in _runs(text, _B64_MAP, _LEAST_B64):
+        yield a, b, text[a:b]
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            for end in (m.end(), m.start() + m[0].rindex("\n")):
+                whole = text[m.start() : end].rstrip("\r\n")
+                if "\n" in whole:
+                    yield m.start(), m.start() + len(whole), whole.replace("\r", "").replace("\n", "")
+
+
+def _base64(layer: _Layer) -> Iterator[tuple[_Layer, bool]]:
+    """Layers decoded from runs that hold text, perhaps compressed, one at a time; and whether one goes on from the layer before."""
+    for a, b, run in _encoded(layer.text):
+        run = run.replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1 or run.isalpha() and (run[1:].islower() or run.isupper()):
             continue
         try:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        unpacked, known = False, set()
-        while data not in known and (inner := _unpack(data)) is not None:
-            known.add(data)
-            unpacked = True
-            data, more = inner
-            if more:
-                large.append((a, b))
-                break
-        text = data.decode("utf-8", "replace") if unpacked else _printable(data)
-        if text:
-            out.append(_Layer(text, [(0, a, b - a)], layer))
-    return out, large
+        chunks = _unpack(data)
+        if chunks is None:
+            texts: Iterable[str] = [text] if (text := _printable(data)) else []
+        else:
+            texts = _stretches(chunks)
+        for k, text in enumerate(texts):
+            if text:
+                yield _Layer(text, [(0, a, b - a)], layer), k > 0
+
+
+def _within(layer: _Layer) -> Iterator[tuple[_Layer, bool]]:
+    """Every layer right beneath this one."""
+    if "%" in layer.text and (x := _unescaped(layer, _PERCENT, _percent)):
+        yield x, False
+    if ("\\" in layer.text or "&" in layer.text) and (x := _unescaped(layer, _ESCAPE, _escape)):
+        yield x, False
+    yield from _base64(layer)
+
+
+def _key(layer: _Layer) -> tuple[bytes, int, int]:
+    """What tells layers apart: the text, as a digest, and the place it comes from."""
+    return hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.place(0, len(layer.text))
 
 
 def find(text: str | None) -> list[Span]:
@@ -195,27 +273,24 @@ def find(text: str | None) -> list[Span]:
     if "PRIVATE KEY" in text:
         out += [("private_key", m.start(), m.end()) for m in _KEY.finditer(text)]
     plain = {(k, a, b) for k, a, b in base}
-    work, seen = [_Layer(text, [], None)], {(text, 0, len(text))}
+    first = _Layer(text, [], None)
+    work, seen = [_within(first)], {_key(first)}
     while work:
-        layer = work.pop()
-        if layer.below is not None:
-            for kind, a, b in scan_layer(layer.text):
-                place = layer.place(a, b)
-                if (kind, *place) not in plain:
-                    out.append((f"decoded_{kind}", *place))
-            out += [("private_key", *layer.place(m.start(), m.end())) for m in _KEY.finditer(layer.text)]
-        new = []
-        if "%" in layer.text and (x := _unescaped(layer, _PERCENT, _percent)):
-            new.append(x)
-        if ("\\" in layer.text or "&" in layer.text) and (x := _unescaped(layer, _ESCAPE, _escape)):
-            new.append(x)
-        more, large = _base64(layer)
-        out += [("oversize", *layer.place(a, b)) for a, b in large]
-        for x in new + more:
-            key = (x.text, *x.place(0, len(x.text)))
-            if key not in seen:
-                seen.add(key)
-                work.append(x)
+        layer, further = next(work[-1], (None, False))
+        if layer is None:
+            work.pop()
+            continue
+        if further:
+            out.append(("oversize", *layer.place(0, len(layer.text))))
+        if (key := _key(layer)) in seen:
+            continue
+        seen.add(key)
+        for kind, a, b in scan_layer(layer.text):
+            place = layer.place(a, b)
+            if (kind, *place) not in plain:
+                out.append((f"decoded_{kind}", *place))
+        out += [("private_key", *layer.place(m.start(), m.end())) for m in _KEY.finditer(layer.text)]
+        work.append(_within(layer))
     return list(dict.fromkeys(out))
 
 
