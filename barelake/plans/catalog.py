@@ -573,10 +573,10 @@ def c6_column_matching(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_columns(all_columns)
 
 
-def _examples(spark: SparkSession, d: str, n: int = 12) -> DataFrame:
-    """A few pairs to learn from: supplier names and two codes made of them."""
+def _examples(spark: SparkSession, d: str, which: Column | None = None) -> DataFrame:
+    """Pairs to learn from: all supplier names and two codes made of them."""
     t = [parse("SplitSubstr('#', 1, 4, 9)"), parse("Substring(0, 3) + Literal('-') + SplitSubstr('#', 1, 6, 9)")]
-    s = _t(spark, d, "supplier").where(F.col("s_suppkey") < n)
+    s = _t(spark, d, "supplier") if which is None else _t(spark, d, "supplier").where(which)
     name = F.col("s_name")
     return s.select(F.lit("names").alias("grp"), name.alias("inp"), F.when(F.col("s_suppkey") % 3 == 0, t[1].column(name)).otherwise(t[0].column(name)).alias("out"))
 
@@ -600,7 +600,7 @@ def c12_learn(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def c15_learn_generalized(spark: SparkSession, d: str) -> DataFrame:
-    return learn.learn(_examples(spark, d, 6), units=("Substring", "Split"), generalization=True).select("grp", "rank", "transformation", "support", "pairs")
+    return learn.learn(_examples(spark, d), units=("Substring", "Split"), generalization=True).select("grp", "rank", "transformation", "support", "pairs")
 
 
 @_query("SELECT least(count(*), trunc(count(*) * 0.1) + 1)::BIGINT AS n FROM supplier")
@@ -645,7 +645,7 @@ def c18_set_join(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def c20_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     """Matching, learning and joining of names and codes, and its precision and recall."""
-    ex = _examples(spark, d, 10)
+    ex = _examples(spark, d)
     src = ex.select(F.monotonically_increasing_id().alias("id"), F.col("inp").alias("value"))
     tgt = ex.select(F.monotonically_increasing_id().alias("id"), F.col("out").alias("value"))
     pairs, _ = matching.match_columns_values(src, tgt, 3, 8)
@@ -703,7 +703,7 @@ def e5_column_matching_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT 1.0::DOUBLE AS set_coverage, round(count(*) FILTER (s_suppkey % 3 <> 0) / count(*), 6) AS best_coverage FROM supplier WHERE s_suppkey < 12")
 def e6_transformation_quality(spark: SparkSession, d: str) -> DataFrame:
-    pairs = [(r["inp"], r["out"]) for r in _examples(spark, d).collect()]
+    pairs = [(r["inp"], r["out"]) for r in _examples(spark, d, F.col("s_suppkey") < 12).collect()]  # as its SQL has it
     ts: list[Transformation] = [parse("SplitSubstr('#', 1, 4, 9)"), parse("Substring(0, 3) + Literal('-') + SplitSubstr('#', 1, 6, 9)")]
     q = metrics.transformation_set(ts, pairs)
     return spark.createDataFrame([(q["set_coverage"], round(q["best_coverage"], 6))], "set_coverage double, best_coverage double")
