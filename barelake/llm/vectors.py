@@ -3,9 +3,11 @@
 Equal vectors are one class from the start. In each pass a class gets a sort
 key of random sign bits, concatenated; classes are ordered by it and each is
 compared with a bounded window of neighbours. Pairs at or above the threshold
-unite across passes into components. The number of passes follows from the
-number of vectors, so that a pair at the threshold is met with the wished
-probability at every size.
+unite across passes into components. Besides, all vectors of a cell, whose keys
+share their first bits, are compared, in blocks dealt over the cluster. A pair
+at the threshold shares them in some pass with the wished probability, however
+vectors are spread; how many bits, and so passes, is chosen by the measured
+sizes of cells, and steers the cost only.
 
 Members of a component are then compared with each other in full, in blocks
 that are dealt over the cluster, which counts every link of a dense group that
@@ -40,6 +42,76 @@ def passes(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: f
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
+def cell_passes(bits: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Passes after which a pair at the threshold has shared its first bits in one, with the wished probability."""
+    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.acos(threshold) / math.pi) ** bits)))
+
+
+def _cell_bits(classes: DataFrame, n: int, threshold: float, window: int, recall: float, seed: int) -> int:
+    """The bits of a cell that cost least by the sizes of cells in the first pass."""
+    least = math.ceil(max(1.0, math.log2(max(2, n) / window)))
+    tried = list(range(least, min(BITS, least + 25), 3))
+    keys = classes.mapInArrow(_sorted_keys(1, seed), f"pass int, key long, rep long, v {classes.schema['v'].dataType.simpleString()}").select("key")
+    cells = keys.select(F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.shiftright("key", BITS - m).alias("cell")) for m in tried])).alias("x")).groupBy("x").count()
+    pairs = {r["m"]: r["pairs"] for r in cells.groupBy("x.m").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()}
+    return min(tried, key=lambda m: (cell_passes(m, threshold, recall) * (1000.0 * n + pairs.get(m, 0.0) / 2), m))
+
+
+def _cells(threshold: float):
+    """mapInArrow function over rows (pass, cell, i, j, block, rep, v) in order of the first four: links of a forest over the pairs of each pair of blocks."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        forest, now, rows = Forest(), None, []
+
+        def settle():
+            block, rep, x = (np.concatenate(c) for c in zip(*rows))
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            mine, theirs = np.nonzero(block == now[2])[0], np.nonzero(block == now[3])[0]
+            label = np.arange(len(rep))
+            for a in range(0, len(mine), 1024):
+                for b in range(0, len(theirs), 1024):
+                    close = x[mine[a : a + 1024]] @ x[theirs[b : b + 1024]].T >= threshold
+                    for k in np.nonzero(close.any(axis=1))[0]:
+                        near = np.append(theirs[b : b + 1024][close[k]], mine[a + k])
+                        if (label[near] != label[near[0]]).any():
+                            met = np.unique(label[near])
+                            label[np.isin(label, met)] = met[0]
+            for k in np.nonzero(label != np.arange(len(rep)))[0]:
+                forest.join(int(rep[k]), int(rep[label[k]]))
+
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
+            cuts = np.concatenate([[0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1, [len(key)]]) if len(key) else [0]
+            block, rep = (batch.column(k).to_numpy() for k in (4, 5))
+            x = _matrix(batch.column(6))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                group = tuple(int(k) for k in key[a])
+                if rows and group != now:
+                    settle()
+                    rows = []
+                now = group
+                rows.append((block[a:b], rep[a:b], x[a:b]))
+        if rows:
+            settle()
+        links = forest.links()
+        for k in range(0, len(links), 65_536):
+            some = links[k : k + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in some], pa.int64()), pa.array([b for _, b in some], pa.int64())], schema=schema)
+
+    return run
+
+
+def _cell_links(keyed: DataFrame, bits: int, threshold: float) -> DataFrame:
+    """Links within all cells of two or more vectors."""
+    placed = keyed.withColumn("cell", F.shiftright("key", BITS - bits))
+    sizes = placed.groupBy("pass", "cell").agg(F.count("*").alias("size")).where("size > 1")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = placed.join(sizes, ["pass", "cell"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pass", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "v")
+    return dealt.repartition("pass", "cell", "i", "j").sortWithinPartitions("pass", "cell", "i", "j").mapInArrow(_cells(threshold), "a long, b long")
+
+
 def _planes(dim: int, number: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((number * BITS, dim))
 
@@ -160,10 +232,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     for dim, number in sorted((r["d"], r["c"]) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).collect()):
         if number < 2:
             continue
-        keyed = classes.where(F.size("v") == dim).select("rep", "v").mapInArrow(_sorted_keys(passes(number, threshold, window, recall), seed), f"pass int, key long, rep long, v array<{kind}>")
-        parts = max(1, -(-number * passes(number, threshold, window, recall) // 16_384))
+        own = classes.where(F.size("v") == dim).select("rep", "v")
+        bits = _cell_bits(own, number, threshold, window, recall, seed)
+        turns = max(passes(number, threshold, window, recall), cell_passes(bits, threshold, recall))
+        keyed = own.mapInArrow(_sorted_keys(turns, seed), f"pass int, key long, rep long, v array<{kind}>")
+        parts = max(1, -(-number * turns // 16_384))
         ordered = keyed.repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key", "rep")
         ties.append(ordered.mapInArrow(_windows(threshold, window), "a long, b long"))
+        ties.append(_cell_links(keyed, bits, threshold))
     root_of = connected_components(_union(vectors.sparkSession, ties))
     root_of = reliable(root_of.union(root_of.select("root", "root").distinct()))
     sizes = root_of.groupBy("root").agg(F.count("*").alias("size"))
