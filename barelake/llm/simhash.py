@@ -253,12 +253,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = fps.join(linked, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that aren't the smallest id of their component.
-
-    Rows with a null id stay. Of several rows with the same kept id all stay.
-    """
-    found = simhash_components(docs, id_col, text_col)
-    gone = found.where((F.col("doc_id") != F.col("component_id")) & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from barelake.llm import quality, simhash
+from barelake.llm import quality, similar
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def test_stages(spark, stages):
     assert all(s.columns == raw.columns for s in (good, single, clean, mixed))
     judged = {r["doc_id"]: r["keep"] for r in quality.classify(raw, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
     assert {r["doc_id"] for r in good.collect()} == {i for i, keep in judged.items() if keep}
-    roots = {r["component_id"] for r in simhash.simhash_components(good).collect()}
+    roots = {r["component_id"] for r in similar.near_components(good).collect()}
     assert {r["doc_id"] for r in single.collect()} == roots
     assert clean.count() == single.count()
     assert not any(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9]", r["text"]) for r in clean.collect())

@@ -59,7 +59,6 @@ def test_hard_rows(hard):
 
 def test_empty(none):
     assert simhash.simhash_components(none).collect() == []
-    assert simhash.deduplicate(none).columns == none.columns
 
 
 def near_codes(seed):
@@ -91,14 +90,6 @@ def test_plan_is_complete():
     assert simhash.allot([[0, 5, 9], [0, 1, 2], [0, 7, 8]], 0)[1] == [0, 1, -1]
 
 
-def test_deduplicate(hard):
-    left = simhash.deduplicate(hard)
-    assert left.columns == hard.columns
-    assert {r["doc_id"] for r in left.where("doc_id IS NOT NULL").collect()} == {r["component_id"] for r in simhash.simhash_components(hard).where("doc_id IS NOT NULL").collect()}
-    assert left.where("doc_id = 2").count() in (0, hard.where("doc_id = 2").count())
-    assert left.where("doc_id IS NULL").count() == 2
-
-
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 90), (None, 3), (7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
