@@ -4,39 +4,43 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barelake.llm import quality
 
-A, N = quality.CLASSES, quality.ORDER
+N = quality.ORDER
 
 
 def prose(rng, n):
     return " ".join(rng.choice(["stone", "river", "green", "walks", "house", "small", "and", "the"]) for _ in range(n)).capitalize() + "."
 
 
-def classes(text):
-    """The classes by plain loops."""
-    own, words, word, gap = [], [], [], None
-    out = [int(quality._CLASS_OF[min(ord(c), 0xFFFF)]) for c in text]
-    i, before = 0, None
-    while i < len(text):
-        if out[i] in (28, 29):
+def units(text):
+    """The units by plain loops."""
+    raw = (text or "").encode("utf-16-le", "surrogatepass")
+    out = [raw[k] + 256 * raw[k + 1] for k in range(0, len(raw), 2)]
+    space = [chr(c).isspace() for c in out]
+    again, before, i = [], None, 0
+    while i < len(out):
+        if space[i]:
             i += 1
             continue
         j = i
-        while j < len(text) and out[j] not in (28, 29):
+        while j < len(out) and not space[j]:
             j += 1
-        if text[i:j] == before:
-            out[i - 1] = quality._AGAIN
-        before, i = text[i:j], j
-    return [28] * (N - 1) + out + [28]
+        if out[i:j] == before:
+            again.append(i - 1)
+        before, i = out[i:j], j
+    for k in again:
+        out[k] = quality.AGAIN
+    return [10] * (N - 1) + out + [10]
 
 
 def brute_model(texts):
     """Interpolated modified Kneser-Ney by its definition, as a function of an n-gram."""
     counts = [None, *[Counter() for _ in range(N)]]
     for t in texts:
-        s = classes(t)
+        s = units(t)
         counts[N].update(tuple(s[i : i + N]) for i in range(len(s) - N + 1))
     for k in range(N - 1, 0, -1):
         counts[k].update(g[1:] for g in counts[k + 1])
@@ -57,7 +61,7 @@ def brute_model(texts):
 
     def p(g):
         if not g:
-            return 1 / A
+            return 1 / (len(counts[1]) + 1)
         c, d, total, spare = tables[len(g) - 1]
         if not total[g[:-1]]:
             return p(g[1:])
@@ -67,6 +71,11 @@ def brute_model(texts):
     return p
 
 
+def nll(p, text):
+    s = units(text)
+    return -sum(math.log(p(tuple(s[i : i + N]))) for i in range(len(s) - N + 1)), len(s) - N + 1
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = random.Random(8)
@@ -85,23 +94,36 @@ def corpus(spark):
     return docs, spark.createDataFrame([*labels, (None, 1, 0), (1000, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
 
 
-def test_classes():
-    for t in ["", "a", "the the  the\nthe", "Ab ab ab", "x x y y x", " lead lead ", "é é ê 漢 漢 \U0001f600"]:
-        assert list(quality.symbols(t)) == classes(t)
+@pytest.mark.parametrize("text", ["", "a", "the the  the\nthe", "Ab ab ab", "x x y y x", " lead lead ", "é é ê 漢 漢 \U0001f600 \U0001f600", "a\u2003a b\u00a0b"])
+def test_units(text):
+    s = units(text)
+    want = [sum(c << 16 * (N - 1 - k) for k, c in enumerate(s[i : i + N])) for i in range(len(s) - N + 1)]
+    assert quality.grams(text).view(np.uint64).tolist() == want
+
 
+TEXTS = ["the stone and the small house.", "река и малый дом у реки", "Déjà vu, déjà vu vu vu", "", "漢字 と かな \U0001f600"] * 3 + ["ten 10 Ten TEN"]
 
-def test_model(spark):
-    texts = [prose(random.Random(i), 20) for i in range(30)] + ["", "zq zq"]
-    table = quality.fit(spark.createDataFrame([(t,) for t in [*texts, None]], "text string"))
-    p = brute_model(texts)
-    rng = random.Random(1)
-    seen = [tuple(classes(t)[i : i + N]) for t in texts[:5] for i in range(20)]
-    for g in seen + [tuple(rng.randrange(A) for _ in range(N)) for _ in range(300)]:
-        code = 0
-        for c in g:
-            code = code * A + c
-        assert table[code] == pytest.approx(math.log(p(g)), rel=1e-4)
-    assert np.exp(table.astype(np.float64)).reshape(-1, A).sum(axis=1) == pytest.approx(1, abs=1e-4)
+
+@pytest.mark.parametrize("small", [False, True])
+def test_model(spark, monkeypatch, small):
+    """Probabilities and sums against the definition, for texts of all models, whatever the size of blocks and shards."""
+    if small:
+        monkeypatch.setattr(quality, "BLOCK", 40)
+        monkeypatch.setattr(quality, "CHUNK", 30)
+        monkeypatch.setattr(quality, "HELD", 20)
+        monkeypatch.setattr(quality, "SHARDS", 3)
+    rng = random.Random(5)
+    parts = [[t for t in [*TEXTS, prose(rng, 20)] if rng.random() < 0.6] for _ in range(2)]
+    model = quality.fit(spark.createDataFrame([(k, t) for k in (0, 1) for t in parts[k]], "part int, text string"))
+    asked = [*TEXTS, None, "unseen Ж and ж; 漢 \U0001f601", "the the the"]
+    for fold, texts in enumerate([parts[0] + parts[1], parts[1], parts[0]]):
+        p = brute_model(texts)
+        got = model.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), F.lit(fold), keep_text=not small).collect()
+        assert len(got) == len(asked)
+        for r in got:
+            s, n = nll(p, asked[r["doc_id"]])
+            assert r["__score"]["n"] == n and r["__score"]["s"] == pytest.approx(s, rel=1e-5)
+            assert small or r["text"] == asked[r["doc_id"]]
 
 
 def test_classify(corpus):
@@ -124,14 +146,11 @@ def test_against_brute_force(corpus):
     rows = docs.collect()
     trusted = [r for r in rows if r["doc_id"] in good and r["text"] is not None]
     p = brute_model([r["text"] for r in trusted])
-
-    def nll(text):
-        s = classes(text or "")
-        return -sum(math.log(p(tuple(s[i : i + N]))) for i in range(len(s) - N + 1)), len(s) - N + 1
-
+    half = {r["text"]: r["half"] for r in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()}
+    others = [brute_model([r["text"] for r in trusted if half[r["text"]] != k]) for k in (0, 1)]
     sums = defaultdict(lambda: [0.0, 0])
     for r in trusted:
-        s, n = nll(r["text"])
+        s, n = nll(others[half[r["text"]]], r["text"])
         for k in (r["lang"], "*"):
             sums[k][0] += s
             sums[k][1] += n
@@ -140,7 +159,7 @@ def test_against_brute_force(corpus):
     found = sorted((str(r["doc_id"]), str(r["lang"]), round(math.log(r["perplexity"]), 3)) for r in got)
     want = []
     for r in rows:
-        s, n = nll(r["text"])
+        s, n = nll(p, r["text"])
         m = mean[r["lang"]] if r["lang"] in mean else mean["*"]
         want.append((str(r["doc_id"]), str(r["lang"]), round((s + quality.PRIOR * m) / (n + quality.PRIOR), 3)))
     for f, w in zip(found, sorted(want)):
@@ -159,3 +178,21 @@ def test_without_trusted_documents(corpus):
     assert quality.classify(docs, labels.where("false")).where("keep").count() == docs.count()
     assert quality.classify(docs.where("false"), labels).collect() == []
     assert quality.filter_quality(docs.where("false"), labels).collect() == []
+
+
+def test_one_trusted_text(spark):
+    """All trusted texts may fall into one half."""
+    docs = spark.createDataFrame([(k, "the small house by the river and the green stone " * 8, "en") for k in range(3)] + [(9, "Zq%% x## Zq%% " * 30, "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(docs, spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")).collect()}
+    assert got == {0: True, 1: True, 2: True, 9: False}
+
+
+def test_other_scripts(spark):
+    """Letters count in every script."""
+    rng = np.random.default_rng(4)
+    words = ["река", "дом", "поле", "лес", "камень", "город"]
+    good = [" ".join(rng.choice(words, 40)) for _ in range(40)]
+    junk = "".join(" " if c == " " else chr(0x430 + int(rng.integers(32))) for c in good[0])
+    docs = spark.createDataFrame([*((i, t, "ru") for i, t in enumerate(good)), (99, junk, "ru")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(docs, spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).collect()}
+    assert not got[99] and all(got[i] for i in range(40))
