@@ -10,6 +10,7 @@ neighbouring ranges of set sizes only.
 from __future__ import annotations
 
 import hashlib
+import re
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +29,15 @@ a an and are as at be but by for from had has have he in is it its not of on or
 aber als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer es für hat ich im ist mit nach nicht noch nur oder sein sich sie sind über um und von vor war wie wird zu zum zur
 al con como de del el ella en entre es esta este fue ha hay la las le lo los más me muy no nos o para pero por que se sin sobre son su sus también un una y ya
 au aux avec ce ces cette dans des du elle est et il ils je la les leur mais nous on ou par pas plus pour qui sa ses son sont sur une vous
+的 了 是 在 不 一 有 和 人 这 我 他 也 就 與 為 の は を に が と で も た し て か な น ร ก อ า เ ນ ກ ອ န က အ ន រ ក
 """
+#: Letters of scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han): each is a word.
+_UNSPACED = "\u0e01-\u0e4e\u0e81-\u0ece\u1000-\u109f\u1780-\u17d3\u3041-\u309f\u30a1-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+#: Punctuation beyond ASCII, which separates words.
+_MARKS = "\u2000-\u206f\u3000-\u3003\u3008-\u301f\u30fb\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_WIDE = re.compile(f"[{_UNSPACED}{_MARKS}]")
+_LETTER = re.compile(f"([{_UNSPACED}])")
+_MARK = re.compile(f"[{_MARKS}]+")
 _ANCHORS = np.array(sorted({crc32(w.encode()) for w in COMMON.split()}), np.uint32)
 _SPACES = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Words of at most this many bytes are anchors too, which covers languages without a list.
@@ -45,12 +54,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def signatures(text: str | None) -> np.ndarray:
     """The sorted distinct signatures of a text, as unsigned 64-bit hashes.
 
+    Letters of scripts that are written without spaces are words of their own.
     A text with words but no signature has one for the whole sequence of its
     words, a text with characters but no words one for its characters; an empty
     or null text has none.
     """
     if not text:
         return _NONE
+    if not text.isascii() and _WIDE.search(text):
+        text = _LETTER.sub(r" \1 ", _MARK.sub(" ", text)) if _LETTER.search(text) else _MARK.sub(" ", text)
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.translate(_SPACES).split()
     n = len(words)

@@ -11,10 +11,18 @@ def order(rows):
     return sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
 
 
+def mark(c):
+    return any(a <= ord(c) <= b for a, b in [(0x2000, 0x206F), (0x3000, 0x3003), (0x3008, 0x301F), (0x30FB, 0x30FB), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)])
+
+
+def unspaced(c):
+    return any(a <= ord(c) <= b for a, b in [(0xE01, 0xE4E), (0xE81, 0xECE), (0x1000, 0x109F), (0x1780, 0x17D3), (0x3041, 0x309F), (0x30A1, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F)])
+
+
 def brute_signatures(text):
     """The definition, word by word, as sets of text."""
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in low).split(" ")
+    words = "".join(" " if c.isascii() and not c.isalnum() or mark(c) else f" {c} " if unspaced(c) else c for c in low).split(" ")
     words = [w for w in words if w]
     common = set(spotsigs.COMMON.split())
     anchor = lambda w: w in common or len(w.encode()) <= 2
@@ -39,6 +47,7 @@ def prose(rng, n):
 def test_signatures():
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(0, 60)) for _ in range(200)] + [None, "", " ", "!!", "stone river", "the"]
+    texts += ["“stone” river — the small green house", "今日は川のほとりの小さな家を見に行きました。とても静かな町でした。", "我们在河边的小房子里看见了一个老人和他的狗，这是很安静的地方。", "น้ำในแม่น้ำไหลผ่านเมืองเก่า", "the 家 of 川"]
     sets = [brute_signatures(t) for t in texts]
     assert [len(spotsigs.signatures(t)) for t in texts] == [len(s) for s in sets]
     for _ in range(1000):
@@ -112,3 +121,10 @@ def test_components(spark, monkeypatch, block):
 def test_likeness_prunes():
     a, b = np.arange(10, dtype=np.uint64), np.arange(2, dtype=np.uint64)
     assert spotsigs.likeness(a, b, 0.5) == 0.0 and spotsigs.likeness(a, b) == 0.2
+
+
+def test_scripts_without_spaces():
+    """An edit leaves most signatures of a text without spaces."""
+    text = "我们在河边的小房子里看见了一个老人和他的狗，这是很安静的地方。他们不是有钱的人，也就在这里过了一生。"
+    a, b = spotsigs.signatures(text), spotsigs.signatures(text.replace("老人", "青年"))
+    assert len(a) > 10 and 0.5 < spotsigs.likeness(a, b) < 1
