@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import column_tags
-from .model import Lake, settled, shape
+from .model import Lake, ranked, settled, shape
 from .related import EDIT, RELATED, related_tables, row_matches, small_side
 
 GROUPING, EMPTY, MULTIPLIER = 0.5, 0.5, 0.1
@@ -18,10 +18,10 @@ GROUPING, EMPTY, MULTIPLIER = 0.5, 0.5, 0.1
 
 def candidate_columns(query: DataFrame, lake: Lake, related: float = RELATED, edit: float = EDIT) -> tuple[DataFrame, DataFrame]:
     """columns(col, score) and entries(col, row_id, value): each unmapped column of each related table, laid beside the query's rows."""
-    found = settled(related_tables(query, lake, related, edit))
+    found = related_tables(query, lake, related, edit)
     wide = found.join(lake.tables.select("table_id", "num_cols"), "table_id")
     spread = wide.select("rank", "table_id", "score", F.explode(F.array_except(F.sequence(F.lit(1), F.greatest(F.col("num_cols") - 1, F.lit(1))), "mapping")).alias("c"), "num_cols").where(F.col("c") < F.col("num_cols"))
-    numbered = spread.withColumn("col", (F.row_number().over(Window.orderBy("rank", "c")) - 1).cast("long"))
+    numbered = ranked(spread, [F.col("rank"), F.col("c")], "col", 0)
     rows = row_matches(query, lake, found, edit)
     entries = rows.join(small_side(numbered.select("table_id", "c", "col")), "table_id").select("col", "row_id", F.coalesce(F.get("cells", F.col("c")), F.lit("")).alias("value"))
     return numbered.select("col", "score"), entries.where("value <> ''")

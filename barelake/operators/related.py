@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import approx_equal
-from .model import Lake, numbered, settled, shape, width
+from .model import Lake, numbered, ranked, shape, width
 
 #: Defaults of the thresholds.
 RELATED, EDIT = 0.5, 0.1
@@ -106,7 +106,7 @@ def related_tables(query: DataFrame, lake: Lake, related: float = RELATED, edit:
     found = best_mappings(match_rows(query, lake.rows, edit, marked)).where(F.col("votes") >= F.lit(related * n))
     sized = found.join(lake.tables.select("table_id", "num_rows", "num_cols"), "table_id").where((F.col("num_rows") >= related * n) & (F.col("num_cols") >= w))
     scored = sized.select("table_id", "mapping", (F.col("votes") / F.lit(float(max(n, 1)))).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "table_id")).cast("long")).select("rank", "table_id", "mapping", "score")
+    return ranked(scored, [F.desc("score"), F.col("table_id")])
 
 
 def related_table(query: DataFrame, lake: Lake, i: int, related: float = RELATED, edit: float = EDIT) -> tuple[DataFrame, float]:
@@ -131,7 +131,7 @@ def extend_rows(query: DataFrame, lake: Lake, related: float = RELATED, edit: fl
     occurrence of a row in a related table adds the table's score. Rows are
     distinct, and rows with an empty key are left out.
     """
-    found = settled(related_tables(query, lake, related, edit))
+    found = related_tables(query, lake, related, edit)
     total = lake.stats["tables"] + 1
     projected = lake.rows.join(small_side(found), "table_id").select(
         F.transform("mapping", lambda i: F.coalesce(F.get("cells", i), F.lit(""))).alias("cells"), F.col("score").alias("s"), F.struct(F.col("rank").cast("long").alias("rank"), F.col("row_id").cast("long").alias("row")).alias("at")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bm25
 from ..functions.text import JOINT, keyword_tokens, qgrams, query_words
 from .dml import column_groups, concatenate, extract
-from .model import Lake, settled
+from .model import Lake, ranked, settled
 from .related import EDIT, MAX_BROADCAST_ROWS, RELATED, related_tables, small_side
 
 NGRAM, RESULTS = 5, 10
@@ -49,7 +49,8 @@ def keyword_search(lake: Lake, keywords: str, num_results: int | None = RESULTS,
     spark = lake.cells.sparkSession
     terms = [(i, query_words(t)) for i, t in enumerate(keywords.split(","))]
     wanted = spark.createDataFrame([(i, w, len(set(ws)), j == len(ws) - 1) for i, ws in terms for j, w in enumerate(ws)], "term int, word string, size int, last boolean")
-    words = keyword_postings(lake).where(F.col("word").isin(sorted({w for _, ws in terms for w in ws})))
+    known = sorted({w for _, ws in terms for w in ws})
+    words = lake.cells.select(F.explode(F.filter(keyword_tokens(F.col("value")), lambda w: w.isin(known))).alias("word"), "table_id", "row_id", "col_id")
     # Per cell first: how often each word of a term is there.
     counted = words.groupBy("word", "table_id", "row_id", "col_id").agg(F.count("*").alias("n"))
     met = counted.join(F.broadcast(wanted.groupBy("term", "word", "size").agg(F.max("last").alias("last"))), "word")
@@ -66,8 +67,9 @@ def keyword_search(lake: Lake, keywords: str, num_results: int | None = RESULTS,
 
 def _ranked(scored: DataFrame, num_results: int | None) -> DataFrame:
     """The best results, ties by table id. A limit is part of the search; without one, ranks are given over all."""
-    top = scored.orderBy(F.desc("score"), "table_id")
-    top = top.limit(num_results) if num_results is not None else top
+    if num_results is None:
+        return ranked(scored, [F.desc("score"), F.col("table_id")])
+    top = scored.orderBy(F.desc("score"), "table_id").limit(num_results)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "table_id")).cast("long")).select("rank", *scored.columns)
 
 

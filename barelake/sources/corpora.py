@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.model import Lake, numbered
+from ..operators.model import Lake, numbered, ranked
 from ..operators.units import Literal, Split, SplitSubstr, Substring, Transformation
 
 
@@ -104,7 +104,7 @@ def split_column(rows: DataFrame, column: int, delimiter: str, parts: int) -> Da
 def read_named_csv(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, <title>…): lines in lower case, cut at commas without quoting, titles in the first line."""
     raw = spark.read.text(path).withColumn("id", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    parts = raw.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("row_id"), F.split(F.trim(F.lower("value")), ",").alias("c"))
+    parts = ranked(raw.select("id", F.split(F.trim(F.lower("value")), ",").alias("c")), [F.col("id")], "row_id", 0)
     titles = [t.strip() for t in parts.where("row_id = 0").first()["c"]]
     return parts.where("row_id > 0").select((F.col("row_id") - 1).alias("row_id"), *[F.trim(F.coalesce(F.get("c", F.lit(i)), F.lit(""))).alias(t) for i, t in enumerate(titles)])
 
