@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from .common import MAX_BROADCAST_ROWS, lookup_side, reliable, union_all
+from .common import MAX_BROADCAST_ROWS, lookup_side, reliable, shuffles_removed, union_all
 
 ORDER = 4
 #: Bits of a unit; an n-gram of ORDER of them is a long.
@@ -417,8 +417,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Texts that are null aren't trained on. Without trusted documents the model
     is uniform and every document is kept. Where all trusted texts fall into
-    one half, they are measured by the model of all.
+    one half, they are measured by the model of all. What is learnt is settled,
+    so no shuffle of the training is on the disks when texts are judged.
     """
+    with shuffles_removed(docs.sparkSession):
+        return _train(docs, labels, id_col, text_col, lang_col)
+
+
+def _train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> Classifier:
     good = trusted(docs, labels, id_col).where(F.col(text_col).isNotNull())
     plain = good.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
