@@ -10,7 +10,7 @@ count for those after.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .model import Lake, collect_rows, query_table, width
@@ -35,18 +35,26 @@ def proposals(cells: DataFrame, lake: Lake, related: float = RELATED, edit: floa
     return good.select("p", "table_id", F.coalesce(F.get("found", F.get("mapping", F.lit(1))), F.lit("")).alias("value"), (F.col("votes") / F.col("n")).alias("score"))
 
 
+def _log(c: str | Column) -> Column:
+    """The natural logarithm; minus infinity for 0, which else is null."""
+    return F.when(F.col(c) > 0 if isinstance(c, str) else c > 0, F.log(c)).otherwise(F.lit(float("-inf")))
+
+
 def choose(offers: DataFrame, rule: str = "sum", multiplier: float = MULTIPLIER) -> DataFrame:
-    """(p, value): the best proposal of each problem; the one of the first table among equals.
+    """(p, value, score): the best proposal of each problem; the one of the first table among equals.
+
+    product: the scores of the value's proposals and ``multiplier`` for each
+    other one, as a logarithm, since the product of many is 0 in a double.
 
     probabilistic: the cell's likelihood is the sum of the value's own scores
     and of 1 less the score of each other proposal.
     """
-    by = offers.groupBy("p", "value").agg(F.sum("score").alias("s"), F.product("score").alias("m"), F.count("*").alias("k"), F.min("table_id").alias("first"))
+    by = offers.groupBy("p", "value").agg(F.sum("score").alias("s"), F.sum(_log("score")).alias("m"), F.count("*").alias("k"), F.min("table_id").alias("first"))
     all_of = Window.partitionBy("p")
     total, count = F.sum("k").over(all_of), F.sum("s").over(all_of)
     score = {
         "sum": F.col("s"),
-        "product": F.col("m") * F.pow(F.lit(float(multiplier)), total - F.col("k")),
+        "product": F.col("m") + F.when(total > F.col("k"), _log(F.lit(float(multiplier))) * (total - F.col("k"))).otherwise(0.0),
         "probabilistic": F.col("s") + (total - F.col("k")) - (count - F.col("s")),
     }.get(rule)
     if score is None:
