@@ -27,6 +27,29 @@ def candidate_columns(query: DataFrame, lake: Lake, related: float = RELATED, ed
     return numbered.select("col", "score"), entries.where("value <> ''")
 
 
+def representatives(entries: DataFrame) -> DataFrame:
+    """(col, rep): rep is the lowest of the columns that hold the same values in the same rows."""
+    held = settled(entries.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("row_id", "value"))).alias("held")))
+    lowest = held.groupBy("held").agg(F.min("col").alias("rep"))
+    return settled(held.join(small_side(lowest), "held").select("col", "rep"))
+
+
+def _agreeing(entries: DataFrame) -> DataFrame:
+    """(a, b, overlap) for columns a <= b that agree in some row.
+
+    Only agreeing cells are joined; the rows where both have a value are
+    counted from the columns' lists of rows. These are few for each column, one
+    for each row of the query table at most.
+    """
+    tasks = entries.sparkSession.sparkContext.defaultParallelism
+    x, y = entries.select(F.col("col").alias("a"), "row_id", "value"), entries.select(F.col("col").alias("b"), "row_id", "value")
+    met = x.repartition(tasks, "a").join(small_side(y), ["row_id", "value"]).where("a <= b").groupBy("a", "b").agg(F.count("*").alias("same"))
+    rows = settled(entries.groupBy("col").agg(F.collect_set("row_id").alias("rows")))
+    of = lambda c, name: small_side(rows.select(F.col("col").alias(c), F.col("rows").alias(name)))
+    both = F.size(F.array_intersect("x", "y"))
+    return met.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", (F.col("same") / both).alias("overlap"))
+
+
 def overlaps(entries: DataFrame) -> DataFrame:
     """(a, b, overlap) for columns a < b that agree in some row: agreeing rows over the rows where both have a value."""
     x, y = entries.select(F.col("col").alias("a"), "row_id", F.col("value").alias("x")), entries.select(F.col("col").alias("b"), "row_id", F.col("value").alias("y"))
@@ -37,20 +60,29 @@ def overlaps(entries: DataFrame) -> DataFrame:
 def group_columns(columns: DataFrame, entries: DataFrame, threshold: float = GROUPING) -> DataFrame:
     """(col, group): columns of the same type tag whose overlap reaches the threshold, directly or through others; group is the lowest member.
 
-    Labels spread along links until none changes; each round is an aggregation
-    and a join over one row for each column and link.
+    Equal columns overlap in whole and are one, the lowest of them. Labels
+    spread along links of these until none changes; each round is an
+    aggregation and a join over one row for each of them and each link.
     """
-    tags = column_tags(entries, ["col"])
+    if threshold > 1:
+        return columns.select("col", F.col("col").alias("group"))
+    reps = representatives(entries)
+    alone = settled(entries.join(small_side(reps.where("col = rep").select("col")), "col", "left_semi"))
+    tags = column_tags(alone, ["col"])
     t1, t2 = tags.select(F.col("col").alias("a"), F.col("tag").alias("ta")), tags.select(F.col("col").alias("b"), F.col("tag").alias("tb"))
-    links = overlaps(entries).where(F.col("overlap") >= threshold).join(t1, "a").join(t2, "b").where(F.col("ta") == F.col("tb")).select("a", "b")
+    links = _agreeing(alone).where(F.col("a") < F.col("b")).where(F.col("overlap") >= threshold).join(t1, "a").join(t2, "b").where(F.col("ta") == F.col("tb")).select("a", "b")
+    links = settled(links)
     both = settled(links.union(links.select("b", "a")).toDF("a", "b"))
-    label = settled(columns.select("col", F.col("col").alias("group")))
+    label = settled(reps.where("col = rep").select("col", F.col("col").alias("group")))
     while True:
-        low = both.join(label, both["b"] == label["col"]).groupBy("a").agg(F.min("group").alias("low"))
+        low = both.join(small_side(label), both["b"] == label["col"]).groupBy("a").agg(F.min("group").alias("low"))
         new = settled(label.join(low, label["col"] == low["a"], "left").select("col", F.least("group", F.coalesce("low", "group")).alias("group")))
         if not new.join(label.withColumnRenamed("group", "old"), "col").where("group <> old").limit(1).count():
-            return new
+            break
         label = new
+    of = reps.join(small_side(label.withColumnRenamed("col", "rep")), "rep").select("col", "group")
+    # A column without a value is a group of its own.
+    return settled(columns.select("col").join(small_side(of), "col", "left").select("col", F.coalesce("group", "col").alias("group")))
 
 
 def consolidate(grouped: DataFrame, columns: DataFrame, entries: DataFrame, rule: str = "sum", multiplier: float = MULTIPLIER) -> DataFrame:
