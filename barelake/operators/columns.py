@@ -50,11 +50,22 @@ def _agreeing(entries: DataFrame) -> DataFrame:
     return met.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", (F.col("same") / both).alias("overlap"))
 
 
-def overlaps(entries: DataFrame) -> DataFrame:
-    """(a, b, overlap) for columns a < b that agree in some row: agreeing rows over the rows where both have a value."""
-    x, y = entries.select(F.col("col").alias("a"), "row_id", F.col("value").alias("x")), entries.select(F.col("col").alias("b"), "row_id", F.col("value").alias("y"))
-    both = x.join(y, "row_id").where("a < b")
-    return both.groupBy("a", "b").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("overlap")).where("overlap > 0")
+def overlaps(entries: DataFrame, digits: int | None = None) -> DataFrame:
+    """(a, b, overlap) for columns a < b that agree in some row: agreeing rows over the rows where both have a value.
+
+    Equal columns are compared once, by their representatives, and each pair is
+    laid out over the columns that these stand for, without a shuffle of pairs.
+    ``digits`` rounds overlaps before that.
+    """
+    reps = representatives(entries)
+    alone = settled(entries.join(small_side(reps.where("col = rep").select("col")), "col", "left_semi"))
+    found = _agreeing(alone).withColumnsRenamed({"a": "ra", "b": "rb"})
+    if digits is not None:
+        found = found.withColumn("overlap", F.round("overlap", digits))
+    found = settled(found).repartition(4 * entries.sparkSession.sparkContext.defaultParallelism)
+    members = lambda c, rep: small_side(reps.select(F.col("rep").alias(rep), F.col("col").alias(c)))
+    laid = found.join(members("x", "ra"), "ra").join(members("y", "rb"), "rb").where((F.col("ra") != F.col("rb")) | (F.col("x") < F.col("y")))
+    return laid.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap")
 
 
 def group_columns(columns: DataFrame, entries: DataFrame, threshold: float = GROUPING) -> DataFrame:
