@@ -74,10 +74,10 @@ def lake_from_rows(wide: DataFrame) -> Lake:
     return Lake(wide.select("table_id", "row_id", F.posexplode("cells").alias("col_id", "value")), wide)
 
 
-def lake_from_frame(df: DataFrame, table: str, order: list[str], values: list[str]) -> Lake:
-    """Each distinct ``table`` value is a bare table; its rows in ``order``; ``values`` become columns as strings, null as empty."""
+def lake_from_frame(df: DataFrame, table: str, order: list[str], values: list[str], null: str | None = "") -> Lake:
+    """Each distinct ``table`` value is a bare table; its rows in ``order``; ``values`` become columns as strings, null as empty or as ``null``."""
     at = Window.partitionBy(table).orderBy(*order)
-    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in values])
+    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit(null)) for c in values])
     return lake_from_rows(df.select(F.col(table).cast("long").alias("table_id"), (F.row_number().over(at) - 1).alias("row_id"), cells.alias("cells")))
 
 

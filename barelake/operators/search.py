@@ -66,11 +66,12 @@ def keyword_search(lake: Lake, keywords: str, num_results: int | None = RESULTS,
 
 
 def _ranked(scored: DataFrame, num_results: int | None) -> DataFrame:
-    """The best results, ties by table id. A limit is part of the search; without one, ranks are given over all."""
+    """The best results, ties by table id, null last. A limit is part of the search; without one, ranks are given over all."""
+    order = [F.desc("score"), F.asc_nulls_last("table_id")]
     if num_results is None:
-        return ranked(scored, [F.desc("score"), F.col("table_id")])
-    top = scored.orderBy(F.desc("score"), "table_id").limit(num_results)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "table_id")).cast("long")).select("rank", *scored.columns)
+        return ranked(scored, order)
+    top = scored.orderBy(*order).limit(num_results)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("rank", *scored.columns)
 
 
 def corpus_statistics(lake: Lake, n: int = NGRAM) -> dict[str, float]:
@@ -136,11 +137,11 @@ def unionable_search(query: DataFrame, lake: Lake, groups: str, related: float =
 
 
 def jaccard_search(query: DataFrame, lake: Lake, ngram: int = NGRAM, num_results: int | None = RESULTS) -> DataFrame:
-    """(rank, table_id, score): tables by the Jaccard similarity of their n-grams with the query table's."""
+    """(rank, table_id, score): tables by the Jaccard similarity of their n-grams with the query table's; null cells have none."""
     terms = lambda c: F.when(F.length(c) < ngram, F.array(c)).otherwise(qgrams(c, ngram))
     mine = query.select(F.explode("cells").alias("c")).select(F.explode(terms(F.lower("c"))).alias("term")).distinct()
     theirs = gram_postings(lake, ngram).select("table_id", "term").distinct()
-    sizes = theirs.groupBy("table_id").agg(F.count("*").alias("size"))
-    shared = theirs.join(small_side(mine), "term").groupBy("table_id").agg(F.count("*").alias("same"))
+    met = theirs.join(small_side(mine.withColumn("mine", F.lit(True))), "term", "left")
+    sizes = met.groupBy("table_id").agg(F.count("*").alias("size"), F.count("mine").alias("same")).where("same > 0")
     score = F.col("same") / (F.col("size") + F.lit(mine.count()) - F.col("same"))
-    return _ranked(shared.join(sizes, "table_id").select("table_id", F.round(score, 9).alias("score")), num_results)
+    return _ranked(sizes.select("table_id", F.round(score, 9).alias("score")), num_results)
