@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from .common import MAX_BROADCAST_ROWS, lookup_side, reliable, shuffles_removed, union_all
+from .common import MAX_BROADCAST_ROWS, give_back, giving_back, lookup_side, reliable, shuffles_removed, union_all
 
 ORDER = 4
 #: Bits of a unit; an n-gram of ORDER of them is a long.
@@ -136,7 +136,7 @@ def count(texts: DataFrame) -> DataFrame:
         for part, tally in tallies.items():
             yield from tally.hand_on(part)
 
-    return texts.mapInArrow(run, "part int, gram long, n long")
+    return texts.mapInArrow(giving_back(run), "part int, gram long, n long")
 
 
 def _discounts(ns: list[int]) -> tuple[float, float, float]:
@@ -250,14 +250,14 @@ class Model:
         hashed = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
         block = F.col("__fold") * F.lit(blocks) + F.pmod(F.xxhash64(*hashed), F.lit(blocks))
         dealt = docs.withColumn("__block", block.cast("long")).withColumn("__text", _packed_texts(text_col)).drop(text_col, "__fold").repartition("__block")
-        asked = dealt.sortWithinPartitions("__block").mapInArrow(_ask(shards, blocks), "shard long, fold int, block long, packed binary").repartition("shard", "fold")
-        different = asked.sortWithinPartitions("shard", "fold").mapInArrow(_different_grams, "fold int, gram long")
+        asked = dealt.sortWithinPartitions("__block").mapInArrow(giving_back(_ask(shards, blocks)), "shard long, fold int, block long, packed binary").repartition("shard", "fold")
+        different = asked.sortWithinPartitions("shard", "fold").mapInArrow(giving_back(_different_grams), "fold int, gram long")
         known = self.look_up(different).select(F.pmod("gram", F.lit(shards)).alias("shard"), "fold", F.lit(-1).cast("long").alias("block"), F.lit(None).cast("binary").alias("packed"), "gram", F.col("lp").cast("float").alias("lp"))
         wanted = asked.withColumn("gram", F.lit(None).cast("long")).withColumn("lp", F.lit(None).cast("float"))
         met = known.union(wanted).repartition("shard", "fold").sortWithinPartitions("shard", "fold", "block")
-        found = met.mapInArrow(_answer, "block long, packed binary, lps binary")
+        found = met.mapInArrow(giving_back(_answer), "block long, packed binary, lps binary")
 
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        def judged(left: pa.Table, right: pa.Table) -> pa.Table:
             keys = np.concatenate([_unpack(x) for x in right["packed"].to_pylist()])
             lps = np.concatenate([np.frombuffer(x, np.float32) for x in right["lps"].to_pylist()]).astype(np.float64)
             keys, at = np.unique(keys, return_index=True)
@@ -286,6 +286,11 @@ class Model:
                 left = left.append_column(text_col, pa.array(texts, pa.string()))
             return left.select(columns).append_column("__score", scores)
 
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = judged(left, right)
+            give_back()
+            return out
+
         fields = [f for f in docs.schema.fields if f.name in columns]
         schema = StructType([*fields, StructField("__score", StructType([StructField("s", DoubleType()), StructField("n", LongType())]))])
         return dealt.groupBy("__block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
